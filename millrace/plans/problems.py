@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import orphans, rolling, sessions, shred, spikes
+from millrace.operators import orphans, packed, rolling, sessions, shred, spikes
 from millrace.runtime import table
 
 QUERIES, SQL = {}, {}
@@ -85,6 +85,13 @@ SQL["p3_sessions"] = _P3 + """SELECT *, (epoch_us("end") - epoch_us(start)) / 1e
 SQL["p3_found"] = _P3 + "SELECT user_id, first_event_id, last_event_id FROM s"
 
 
+# 4 ----------------------------------------------------------------------------------------------
+@query
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    names = packed.split_packed(table(spark, folder, "startups_sample"), "id", "investors")
+    return names.withColumnRenamed("value", "investor")
+
+
 # 5 ----------------------------------------------------------------------------------------------
 def _references(spark: SparkSession, folder: str) -> list[orphans.Reference]:
     users, products = table(spark, folder, "users_sample"), table(spark, folder, "products_sample")
