@@ -57,6 +57,28 @@ def bridge(sessions: DataFrame, gap_minutes: float = 30) -> DataFrame:
     )
 
 
+def local_sessions(events: DataFrame, gap_minutes: float = 30) -> DataFrame:
+    """Sessions of single events within a user and day; what reaches over midnight is left to ``bridge``."""
+    gap = int(gap_minutes * 60_000_000)
+    rows = events.select("user_id", "first_event_id", "start", F.col("start").cast("date").alias("day"), _micros("start").alias("s"))
+    order = Window.partitionBy("user_id", "day").orderBy("s", "first_event_id")
+    opens = F.when(F.col("s") - F.lag("s").over(order) <= gap, 0).otherwise(1)
+    numbered = rows.withColumn("opens", opens).withColumn("n", F.sum("opens").over(order))
+    last = F.lead("opens").over(order)
+    edges = numbered.withColumn("ends", F.coalesce(last, F.lit(1)))
+    return (
+        edges.groupBy("user_id", "day", "n")
+        .agg(
+            F.min("start").alias("start"),
+            F.max("start").alias("end"),
+            F.max(F.when(F.col("opens") == 1, F.col("first_event_id"))).alias("first_event_id"),
+            F.max(F.when(F.col("ends") == 1, F.col("first_event_id"))).alias("last_event_id"),
+            F.count(F.lit(1)).alias("events"),
+        )
+        .drop("day", "n")
+    )
+
+
 def distinct_events(events: DataFrame, user: str, event: str, at: str, received: str | None = None) -> DataFrame:
     """Events as sessions of one event. Of repeats of an event id the first received counts.
 
@@ -68,7 +90,7 @@ def distinct_events(events: DataFrame, user: str, event: str, at: str, received:
         F.col(event).cast("string").alias("event_id"),
         F.col(received or at).alias("received"),
     ).where("user_id IS NOT NULL AND at IS NOT NULL AND event_id IS NOT NULL")
-    first = rows.groupBy("event_id").agg(F.min_by(F.struct("user_id", "at"), F.struct("received", "at", "user_id")).alias("x"))
+    first = rows.repartition("event_id").groupBy("event_id").agg(F.min_by(F.struct("user_id", "at"), F.struct("received", "at", "user_id")).alias("x"))
     return first.select(
         "x.user_id", F.col("x.at").alias("start"), F.col("x.at").alias("end"),
         F.col("event_id").alias("first_event_id"), F.col("event_id").alias("last_event_id"), F.lit(1).cast("bigint").alias("events"),
@@ -77,7 +99,7 @@ def distinct_events(events: DataFrame, user: str, event: str, at: str, received:
 
 def sessionize(events: DataFrame, user: str, event: str, at: str, received: str | None = None, gap_minutes: float = 30) -> DataFrame:
     """All sessions of a complete table of events at once; ``SCHEMA``."""
-    return bridge(distinct_events(events, user, event, at, received), gap_minutes)
+    return bridge(local_sessions(distinct_events(events, user, event, at, received), gap_minutes), gap_minutes)
 
 
 class SessionTable:
@@ -141,16 +163,18 @@ class SessionTable:
             fresh = batch.join(seen, "first_event_id", "left_anti").select(*batch.columns)
         ids = f"{self.path}/seen/v{version}"
         local = f"{self.path}/local/v{version}"
-        fresh.select("first_event_id").write.mode("overwrite").parquet(ids)
-        bridge(fresh, self.gap).withColumn("bucket", self._bucket()).write.mode("overwrite").parquet(local)
-        found = self.spark.read.parquet(local)
+        fresh.select("first_event_id", "user_id", "start").write.mode("overwrite").parquet(ids)
+        fresh = self.spark.read.schema("first_event_id string, user_id bigint, start timestamp_ntz").parquet(ids)
+        local_sessions(fresh, self.gap).withColumn("bucket", self._bucket()).write.mode("overwrite").parquet(local)
+        found = self.spark.read.schema(f"{SCHEMA}, bucket int").parquet(local)
         touched = sorted(r[0] for r in found.select("bucket").distinct().collect())  # at most ``buckets`` numbers
         folders = dict(old["sessions"])
         if touched:
             stored = [folders[str(b)] for b in touched if str(b) in folders]
             rows = found.drop("bucket")
             if stored:
-                rows = bridge(rows.unionByName(self.spark.read.schema(SCHEMA).parquet(*stored)), self.gap)
+                rows = rows.unionByName(self.spark.read.schema(SCHEMA).parquet(*stored))
+            rows = bridge(rows, self.gap)
             out = f"{self.path}/data/v{version}"
             rows.withColumn("bucket", self._bucket()).write.mode("overwrite").partitionBy("bucket").parquet(out)
             folders |= {str(b): f"{out}/bucket={b}" for b in touched}
