@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.plans import problems
+from millrace.plans import problems, reports
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+QUERIES = {**reports.QUERIES, **problems.QUERIES}
+SQL = {**reports.SQL, **problems.SQL}
