@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.plans import problems, reports
+from millrace.plans import analytics, problems, reports
 
-QUERIES = {**reports.QUERIES, **problems.QUERIES}
-SQL = {**reports.SQL, **problems.SQL}
+QUERIES = {**reports.QUERIES, **analytics.QUERIES, **problems.QUERIES}
+SQL = {**reports.SQL, **analytics.SQL, **problems.SQL}
