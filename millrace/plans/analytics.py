@@ -9,7 +9,7 @@ from millrace.functions import dates, ids, numbers, text, vectors
 from millrace.functions.numbers import money, ratio
 from millrace.operators import quality as Q
 from millrace.operators import reports as R
-from millrace.operators import retrieval, series, stats, upsert
+from millrace.operators import learning, retrieval, series, stats, upsert
 from millrace.runtime import table
 
 QUERIES, SQL = {}, {}
@@ -623,3 +623,63 @@ def neighbour_similarity(spark: SparkSession, folder: str) -> DataFrame:
     nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"), F.col("label").alias("right_label"))
     pairs = e.withColumnRenamed("label", "left_label").join(nxt, "vec_id")
     return pairs.groupBy("left_label", "right_label").agg(F.count(F.lit(1)).alias("pairs"), F.avg(vectors.cosine(F.col("embedding"), F.col("other"))).alias("mean_similarity"))
+
+
+# Learning ---------------------------------------------------------------------------------------
+def _order_rows(spark, folder):
+    o = table(spark, folder, "orders").join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return o.select("o_orderkey", "o_totalprice", "c_acctbal", "o_orderpriority", "c_mktsegment", (F.col("o_totalprice") > 150_000).cast("int").alias("label"))
+
+
+@query()
+def feature_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _order_rows(spark, folder)
+    f = learning.Features(["o_totalprice", "c_acctbal"], {"o_orderpriority": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]}, ["c_mktsegment"]).fit(rows)
+    return f.transform(rows).select("o_orderkey", learning.vector_to_array("features").alias("features"))
+
+
+@query()
+def label_split(spark: SparkSession, folder: str) -> DataFrame:
+    train, test = learning.stratified_split(_order_rows(spark, folder), "o_orderkey", "label")
+    both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    return both.groupBy("part", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def embedding_components(spark: SparkSession, folder: str) -> DataFrame:
+    found = learning.principal_components(table(spark, folder, "embeddings"), "embedding")
+    return found.select("vec_id", F.transform("components", lambda x: F.round(F.abs(x), 6)).alias("components"))
+
+
+@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS term FROM documents),
+  t AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM documents),
+  v AS (SELECT term, count(*) AS df FROM t GROUP BY 1 HAVING count(*) >= 2 ORDER BY sum(tf) DESC, term LIMIT 2000),
+  x AS (SELECT doc_id, term, (1 + ln(tf)) * (1 + ln((1 + n) / (1 + df))) AS x FROM t JOIN v USING (term), n),
+  y AS (SELECT doc_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS weight FROM x)
+  SELECT doc_id, count(*) AS terms, round(sum(weight), 5) AS total, round(max(weight), 5) AS largest FROM y GROUP BY 1""")
+def tf_idf_weights(spark: SparkSession, folder: str) -> DataFrame:
+    w = learning.tf_idf(table(spark, folder, "documents"), "doc_id", "text", 2000, grams=1)
+    return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum("weight"), 5).alias("total"), F.round(F.max("weight"), 5).alias("largest"))
+
+
+@query()
+def sector_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "startups_sample").where("sector IS NOT NULL AND description IS NOT NULL").select("id", F.lower(F.trim("sector")).alias("sector"), "description").distinct()
+    coded = learning.label_codes(rows, "sector", "label")
+    tokens = coded.withColumn("w", text.words(F.col("description")))
+    hashed = learning.hashed_words(tokens, "w", 1024)
+    train, test = learning.stratified_split(hashed, "id", "label")
+    model = learning.LogisticRegression(featuresCol="features", labelCol="label", maxIter=20, regParam=0.01).fit(train)
+    return learning.class_report(model.transform(test), "label", "prediction")
+
+
+@query()
+def ridership_forecast(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "cta_ridership_sample").where("rides BETWEEN 1 AND 100000").select("route", "service_date", "rides").distinct()
+    return learning.seasonal_regression(rows, "route", "service_date", "rides", "2023-12-01")
+
+
+@query()
+def weather_importance(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _cta(spark, folder).where("temperature_2m IS NOT NULL AND windspeed_10m IS NOT NULL AND precipitation IS NOT NULL")
+    return learning.importances(rows, ["temperature_2m", "windspeed_10m", "precipitation"], "rides")
