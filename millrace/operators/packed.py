@@ -134,12 +134,14 @@ class Lattice:
         for kind, p in zip(self.kinds, known[m:]):
             p = min(max(start[kind] if p is None or p != p else p, 1e-6), 1 - 1e-6)
             cut_at.append((math.log(p), math.log1p(-p)))
+        # An unseen name costs as much as its pieces would; a piece that usually stays attached costs little.
+        joined = [0.1 * math.exp(no) if no > math.log(0.5) else s.inner * s.unseen / max(total, 1.0) for _, no in cut_at]
         scores = []
         for (i, j), count in zip(self.edges, known[:m]):
             score = 0.0  # before anything is learned only the delimiters count
             if total:
                 count = 0.0 if count is None or count != count else count
-                score = math.log((count + s.unseen * s.inner ** (j - i - 1)) / total)
+                score = math.log((count + s.unseen * math.prod(joined[i : j - 1])) / total)
             score += sum(cut_at[k][1] for k in range(i, j - 1)) + (cut_at[j - 1][0] if j < self.n else 0.0)
             scores.append(score)
         return scores
@@ -153,7 +155,11 @@ class Lattice:
             fwd[j] = add(fwd[j], fwd[i] + x)
         for (i, j), x in sorted(zip(self.edges, scores), key=lambda e: -e[0][0]):
             bwd[i] = add(bwd[i], bwd[j] + x)
-        names = [math.exp(fwd[i] + x + bwd[j] - fwd[self.n]) for (i, j), x in zip(self.edges, scores)]
+        stay = [1 - min(max(start[k] if p is None or p != p else p, 0.0), 1.0) for k, p in zip(self.kinds, known[len(self.edges) :])]
+        # A joined name counts as far as its delimiters are known to stay; chance neighbours do not add up to a name.
+        names = [
+            math.exp(fwd[i] + x + bwd[j] - fwd[self.n]) * math.prod(stay[i : j - 1]) for (i, j), x in zip(self.edges, scores)
+        ]
         cuts = [math.exp(fwd[k] + bwd[k] - fwd[self.n]) for k in range(1, self.n)]
         return names, cuts
 
@@ -210,12 +216,20 @@ def learn(soft: DataFrame, names: DataFrame, s: Segmentation) -> tuple[DataFrame
     """Expectation-maximisation over all segments: value frequencies and what each delimiter does.
 
     The model is a table ``key, p``: discounted expected counts of values, and for a delimiter with
-    the piece after it the probability of a cut (backed off to the delimiter's kind). Only the six
+    the piece after it the probability of a cut (backed off to the delimiter's kind; before the
+    last piece of a quoted name it is known to stay). Only the six
     probabilities by kind and the total come to the driver.
     """
     base = names.groupBy("text").agg(F.sum("weight").cast("double").alias("p")).select(F.concat(F.lit("v"), "text").alias("key"), "p")
     base = cut(base)
     sure = base.agg(F.sum("p")).first()[0] or 0.0
+
+    def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [(f"b{k} {x}", w) for t, w in zip(b["text"], b["weight"]) for lat in [Lattice(t, 1)] for k, x in [*zip(lat.kinds, lat.nexts)][-1:]]
+            yield pd.DataFrame(found, columns=["key", "kept"]).astype({"kept": "float64"})
+
+    stays = cut(names.mapInPandas(kept, "key string, kept double").groupBy("key").agg(F.sum("kept").alias("kept")))
     model, start, total = None, dict(START), 0.0
     for _ in range(s.rounds):
 
@@ -247,7 +261,11 @@ def learn(soft: DataFrame, names: DataFrame, s: Segmentation) -> tuple[DataFrame
         counted = values.unionByName(base).groupBy("key").agg(F.sum("p").alias("p"))
         total = sure + (values.agg(F.sum("p")).first()[0] or 0.0) + 1.0
         model = cut(
-            counted.unionByName(cuts.select("key", ((F.col("c") + s.backing * prior) / (F.col("n") + s.backing)).alias("p")))
+            counted.unionByName(
+                cuts.join(stays, "key", "left").select(
+                    "key", ((F.col("c") + s.backing * prior) / (F.col("n") + F.coalesce("kept", F.lit(0.0)) + s.backing)).alias("p")
+                )
+            )
         )
     return model, start, total
 

@@ -131,7 +131,7 @@ def flag_readings(
         seen.groupBy("source")
         .agg(
             F.percentile_approx(F.when(raised, F.col("change")), F.array(F.lit(0.25), F.lit(0.75)), F.lit(s.accuracy)).alias("busy"),
-            (F.count_if(raised) / F.count("change")).alias("share"),
+            F.try_divide(F.count_if(raised), F.count("change")).alias("share"),
         )
         .where(F.col("share") >= s.habit)
         .select("source", (F.col("busy")[1] + 1.5 * (F.col("busy")[1] - F.col("busy")[0])).alias("busy_to"))
