@@ -104,8 +104,9 @@ def rolling_origins(df: DataFrame, day: str, initial: int, period: int, horizon:
     ends = df.agg(F.min(day).alias("a"), F.max(day).alias("b"))
     a, b = ends.select("a").scalar(), ends.select("b").scalar()
     n = F.floor((F.datediff(b, a) - initial - horizon) / period)
-    folds = F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0)).cast("int")), lambda i: F.date_add(a, (i * period + initial).cast("int"))))
-    every = df.withColumn("cutoff", F.explode(folds)).where(F.col(day) <= F.date_add("cutoff", horizon))
+    folds = F.when(n >= 0, F.sequence(F.lit(0), F.greatest(n, F.lit(0)).cast("int")))
+    every = df.withColumn("_fold", F.explode(folds)).withColumn("cutoff", F.date_add(a, F.col("_fold") * period + initial)).drop("_fold")
+    every = every.where(F.col(day) <= F.date_add("cutoff", horizon))
     return every.withColumn("part", F.when(F.col(day) <= F.col("cutoff"), "train").otherwise("test"))
 
 

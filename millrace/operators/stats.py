@@ -140,9 +140,9 @@ def threshold_costs(df: DataFrame, score: str, label: Column, cost_fn: float, co
     """Cost of flagging from each threshold (in hundredths) on: ``threshold, fn, fp, cost``.
 
     A row adds to the thresholds up to its score; rows are first folded to their hundredth, so the grid
-    never multiplies the data.
+    never multiplies the data. A NULL score is never flagged.
     """
-    step = F.least(F.lit(high), F.floor(F.round(F.col(score) * 100.0, 9)).cast("int"))
+    step = F.least(F.lit(high), F.coalesce(F.floor(F.round(F.col(score) * 100.0, 9)).cast("int"), F.lit(low - 1)))
     cells = df.groupBy(F.greatest(F.lit(low - 1), step).alias("at")).agg(F.count_if(label).alias("pos"), F.count_if(~label).alias("neg"))
     grid = df.sparkSession.range(low, high + 1).select(F.col("id").cast("int").alias("t"))
     spread = cells.where(f"at >= {low}").select(F.explode(F.sequence(F.lit(low), "at")).alias("t"), "pos", "neg").groupBy("t").agg(

@@ -86,13 +86,15 @@ def ordered_fold(turns: DataFrame, key: str, order: str, step: Callable[[dict, d
     The batch form of a keyed conversation state; a conversation is the group, so it has to fit a task.
     """
 
+    names = T.StructType.fromDDL(schema).names
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         state: dict = {}
         out = []
         for row in pdf.sort_values(order, kind="stable").to_dict("records"):
             state, produced = step(state, row)
             out.append(produced)
-        return pd.DataFrame(out, columns=T.StructType.fromDDL(schema).names)
+        return pd.DataFrame(out, columns=names)
 
     return turns.groupBy(key).applyInPandas(run, schema)
 
