@@ -26,10 +26,13 @@ def query(sql: str | None = None):
 
 
 S_TOTAL = "CAST(sum(CAST(o_totalprice AS DECIMAL(14, 2))) AS DOUBLE)"
-TOTAL = F.sum(money("o_totalprice", 14, 2)).cast("double")
 AS_OF = "2001-09-01"
 
 
+def total():
+    return F.sum(money("o_totalprice", 14, 2)).cast("double")
+
+
 # Latest rows and merging ------------------------------------------------------------------------
 @query("""SELECT * EXCLUDE rn FROM (SELECT id, username, email, loaded_at, deleted_at, row_number() OVER (PARTITION BY id
   ORDER BY loaded_at DESC, username DESC NULLS LAST, email DESC NULLS LAST, deleted_at DESC NULLS LAST) AS rn FROM users_sample) WHERE rn = 1""")
@@ -107,7 +110,7 @@ def order_summary(spark: SparkSession, folder: str) -> DataFrame:
 def customer_kpis(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders")
     base = orders.groupBy(F.col("o_custkey").alias("customer")).agg(
-        F.count(F.lit(1)).alias("orders"), TOTAL.alias("spend"), F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b")
+        F.count(F.lit(1)).alias("orders"), total().alias("spend"), F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b")
     )
     lines = orders.join(table(spark, folder, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).join(
         table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey")
@@ -190,7 +193,7 @@ def _cohorts(spark, folder):
     firsts = rows.groupBy("o_custkey").agg(F.trunc(F.min("o_orderdate").cast("date"), "QUARTER").alias("cohort"))
     q = lambda c: F.year(c) * 4 + F.quarter(c)
     joined = rows.join(firsts, "o_custkey").withColumn("period", q("o_orderdate") - q("cohort"))
-    return joined.groupBy("cohort", "period").agg(F.count_distinct("o_custkey").alias("users"), TOTAL.alias("revenue"))
+    return joined.groupBy("cohort", "period").agg(F.count_distinct("o_custkey").alias("users"), total().alias("revenue"))
 
 
 @query(S_COHORT + "SELECT p.cohort, period, users, size, 100.0 * (users / size) AS rate FROM p JOIN (SELECT cohort, users AS size FROM p WHERE period = 0) USING (cohort)")

@@ -30,8 +30,16 @@ def query(sql: str | None = None):
 # The categories that have a translation; the others keep their raw name.
 TRANSLATED = {"STANDARD": "standard goods", "SMALL": "small goods", "PROMO": "promotions"}
 
-PRICE = money("l_extendedprice", 12, 2)
-FREIGHT = PRICE * money("l_tax", 4, 2)
+def price():
+    return money("l_extendedprice", 12, 2)
+
+
+def freight():
+    return price() * money("l_tax", 4, 2)
+
+
+def revenue():
+    return F.sum(price()).cast("double")
 
 
 def _delivered(spark, folder):
@@ -68,19 +76,18 @@ S_CATEGORY = """ LEFT JOIN (SELECT p_partkey, coalesce(label, p_type, 'unknown_c
 S_PRICE = "CAST(l_extendedprice AS DECIMAL(12, 2))"
 S_FREIGHT = f"{S_PRICE} * CAST(l_tax AS DECIMAL(4, 2))"
 S_REVENUE = f"CAST(sum({S_PRICE}) AS DOUBLE)"
-REVENUE = F.sum(PRICE).cast("double")
 
 
 @query(f"""SELECT {S_REVENUE} AS revenue, count(DISTINCT o_orderkey) AS orders, {S_REVENUE} / count(DISTINCT o_orderkey) AS average_order
   FROM {S_ITEMS} WHERE o_orderstatus = 'F'""")
 def revenue_kpis(spark: SparkSession, folder: str) -> DataFrame:
-    one = R.totals(_items(spark, folder), {"revenue": REVENUE, "orders": F.count_distinct("o_orderkey")})
+    one = R.totals(_items(spark, folder), {"revenue": revenue(), "orders": F.count_distinct("o_orderkey")})
     return one.withColumn("average_order", ratio(F.col("revenue"), F.col("orders")))
 
 
 def _monthly(spark, folder):
     by_month = _items(spark, folder).where("o_orderdate >= '1996-01-01'").withColumn("month", month(F.col("o_orderdate")))
-    return R.totals(by_month, {"revenue": REVENUE, "orders": F.count_distinct("o_orderkey")}, ["month"])
+    return R.totals(by_month, {"revenue": revenue(), "orders": F.count_distinct("o_orderkey")}, ["month"])
 
 
 S_MONTHLY = f"""SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, {S_REVENUE} AS revenue, count(DISTINCT o_orderkey) AS orders
@@ -107,25 +114,25 @@ def yoy_growth_gap_safe(spark: SparkSession, folder: str) -> DataFrame:
   100.0 * {S_REVENUE} / sum({S_REVENUE}) OVER () AS share FROM {S_ITEMS}{S_REGION} WHERE o_orderstatus = 'F' GROUP BY r_name""")
 def revenue_by_region(spark: SparkSession, folder: str) -> DataFrame:
     rows = _with_region(_items(spark, folder), spark, folder).withColumnRenamed("r_name", "region")
-    return R.with_share(R.totals(rows, {"revenue": REVENUE, "orders": F.count_distinct("o_orderkey")}, ["region"]), "revenue", "share")
+    return R.with_share(R.totals(rows, {"revenue": revenue(), "orders": F.count_distinct("o_orderkey")}, ["region"]), "revenue", "share")
 
 
 @query(f"""SELECT category, {S_REVENUE} AS revenue, count(*) AS items, 100.0 * {S_REVENUE} / sum({S_REVENUE}) OVER () AS share
   FROM {S_ITEMS}{S_CATEGORY} WHERE o_orderstatus = 'F' GROUP BY category""")
 def revenue_by_category(spark: SparkSession, folder: str) -> DataFrame:
     rows = _with_category(_items(spark, folder), spark, folder)
-    return R.with_share(R.totals(rows, {"revenue": REVENUE, "items": F.count(F.lit(1))}, ["category"]), "revenue", "share")
+    return R.with_share(R.totals(rows, {"revenue": revenue(), "items": F.count(F.lit(1))}, ["category"]), "revenue", "share")
 
 
 @query(f"""SELECT r_name AS region, category, {S_REVENUE} AS revenue, 100.0 * {S_REVENUE} / sum({S_REVENUE}) OVER (PARTITION BY r_name) AS share
   FROM {S_ITEMS}{S_REGION}{S_CATEGORY} WHERE o_orderstatus = 'F' GROUP BY 1, 2""")
 def region_category(spark: SparkSession, folder: str) -> DataFrame:
     rows = _with_category(_with_region(_items(spark, folder), spark, folder), spark, folder).withColumnRenamed("r_name", "region")
-    return R.with_share(R.totals(rows, {"revenue": REVENUE}, ["region", "category"]), "revenue", "share", ["region"])
+    return R.with_share(R.totals(rows, {"revenue": revenue()}, ["region", "category"]), "revenue", "share", ["region"])
 
 
 def _freight(rows, by, least=1):
-    out = R.ratio_of_sums(rows, by, FREIGHT, PRICE, F.count_distinct("o_orderkey"), least)
+    out = R.ratio_of_sums(rows, by, freight(), price(), F.count_distinct("o_orderkey"), least)
     return out.select(*by, F.col("numerator").cast("double").alias("freight"), F.col("denominator").cast("double").alias("revenue"), F.col("n").alias("orders"), "pct")
 
 
@@ -229,7 +236,7 @@ def late_rate_seller(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _ranked(rows, key, least=1):
-    out = R.totals(rows, {"revenue": REVENUE, "orders": F.count_distinct("o_orderkey"), "freight": F.sum(FREIGHT).cast("double")}, [key])
+    out = R.totals(rows, {"revenue": revenue(), "orders": F.count_distinct("o_orderkey"), "freight": F.sum(freight()).cast("double")}, [key])
     return out.where(F.col("orders") >= least).withColumn("margin_proxy", 100.0 - 100.0 * ratio(F.col("freight"), F.col("revenue")))
 
 
