@@ -16,7 +16,8 @@ class Fences:
     """Parameters of ``flag_readings``.
 
     frozen: this many equal consecutive readings or more are a frozen run. fence: width of the fences
-    in interquartile ranges. rise, drop: a reading also has to be this many times its neighbours, or
+    in interquartile ranges, less what mere counting of so few makes up of them; counted: width of the
+    fences for that part, in square roots of the expected reading. rise, drop: a reading also has to be this many times its neighbours, or
     this share of them, to count. habit: from this share of raised readings on, raised days are a
     habit of the source, and what lies within the fence of its raised readings is normal. raised: what
     counts as raised. around: readings looked at on either side. accuracy: of the quantile sketches.
@@ -24,6 +25,7 @@ class Fences:
 
     frozen: int = 5
     fence: float = 4.0
+    counted: float = 4.5
     rise: float = 1.5
     drop: float = 0.6
     habit: float = 0.045
@@ -137,8 +139,11 @@ def flag_readings(
         .select("source", (F.col("busy")[1] + 1.5 * (F.col("busy")[1] - F.col("busy")[0])).alias("busy_to"))
     )
     spread = F.col("q")[1] - F.col("q")[0]
-    high = F.greatest(F.lit(s.fence) * spread, F.log(F.lit(s.rise)), F.coalesce("busy_to", F.lit(0.0)))
-    low = F.greatest(F.lit(s.fence) * spread, -F.log(F.lit(s.drop)))
+    root = F.sqrt(F.greatest(F.greatest("value", F.lit(1.0)) / F.exp("change"), F.lit(1.0)))
+    beyond = F.lit(s.fence) * F.sqrt(F.greatest(spread * spread - (1.35 / root) * (1.35 / root), F.lit(0.0)))
+    both = lambda x: F.sqrt(beyond * beyond + x * x)
+    high = F.greatest(both(F.log(1 + s.counted / root)), F.log(F.lit(s.rise)), F.coalesce("busy_to", F.lit(0.0)))
+    low = F.greatest(both(F.log(F.greatest(1 - s.counted / root, F.lit(0.02)))), -F.log(F.lit(s.drop)))
     reasons = F.array_compact(
         F.array(
             F.when(F.col("value") < 0, "impossible"),
