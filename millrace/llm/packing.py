@@ -16,14 +16,14 @@ ITEMS = "pack_name string, capacity int, doc_id bigint, piece_no int, char_start
 PLACED = f"{ITEMS}, container string, used int"
 
 
-def pieces(text: str, capacity: int, path: str = VOCABULARY) -> list[tuple[int, int, int]]:
+def pieces(text: str, capacity: int, path: str = VOCABULARY, ids: list[int] | None = None) -> list[tuple[int, int, int]]:
     """``(char_start, char_end, tokens)`` of the pieces of a text that do not exceed the capacity.
 
     A text that fits is one piece. A longer one is cut at token borders that are also character
     borders; each piece is counted by itself, since the tokens of a cut text can differ.
     """
     enc = encoder(path)
-    ids = enc.encode_ordinary(text)
+    ids = enc.encode_ordinary(text) if ids is None else ids
     if len(ids) <= capacity:
         return [(0, len(text), len(ids))] if ids else []
     ends = np.cumsum([len(b) for b in enc.decode_tokens_bytes(ids)])
@@ -57,10 +57,9 @@ def items(docs: DataFrame, doc: str, text: str, capacities: Mapping[str, int], p
         for b in batches:
             rows = []
             for d, t in zip(b["doc_id"], b["text"]):
-                size = len(enc.encode_ordinary(t))
+                ids = enc.encode_ordinary(t)
                 for name, c in wanted.items():
-                    parts = pieces(t, c, path) if size > c else [(0, len(t), size)] if size else []
-                    rows.extend((name, c, d, k, *p) for k, p in enumerate(parts))
+                    rows.extend((name, c, d, k, *p) for k, p in enumerate(pieces(t, c, path, ids)))
             yield pd.DataFrame(rows, columns=names)
 
     rows = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
