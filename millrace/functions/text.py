@@ -61,9 +61,9 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
-def prefix_key(c: Column, length: int = 180) -> Column:
-    """Key under which texts count as near copies: the first characters, lower case, single spaces."""
-    return F.substring(F.trim(F.regexp_replace(F.lower(c), r"\s+", " ")), 1, length)
+def plain(c: Column) -> Column:
+    """Lower case with single spaces: texts that differ in nothing else become equal."""
+    return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
 
 
 def truth(c: Column) -> Column:

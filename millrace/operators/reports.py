@@ -102,3 +102,28 @@ def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
         F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("distinct_rows"),
         (F.coalesce(F.sum("_n"), F.lit(0)) - F.count(F.lit(1))).alias("surplus"),
     )
+
+
+def hash_sample(df: DataFrame, keys: Sequence[str], share: float, seed: int = 42) -> DataFrame:
+    """A sample by a hash of the keys: the same rows every time, and all rows of a key or none."""
+    dice = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1_000_000))
+    return df.where(dice < int(share * 1_000_000))
+
+
+def in_list_order(df: DataFrame, column: str, order: Sequence) -> DataFrame:
+    """Rows sorted by a stated order of values, others last."""
+    place = F.array_position(F.array(*[F.lit(x) for x in order]), F.col(column))
+    return df.orderBy(F.when(place == 0, len(order) + 1).otherwise(place), F.asc_nulls_last(column))
+
+
+def row_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Each of the columns as a share of the row's largest value."""
+    largest = F.greatest(*[F.col(c) for c in columns]) if len(columns) > 1 else F.col(columns[0])
+    return df.withColumns({c: ratio(F.col(c), largest) for c in columns})
+
+
+def near_copies(df: DataFrame, key: str, normalized: Column) -> DataFrame:
+    """Rows that share a normalised text: ``key, first_key, copies``; the smallest key stands for its group."""
+    rows = df.select(F.col(key).alias("_k"), F.xxhash64(normalized).alias("_h"), normalized.alias("_t")).where("_t IS NOT NULL")
+    groups = rows.groupBy("_h", "_t").agg(F.min("_k").alias("first_key"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    return rows.join(groups, ["_h", "_t"]).select(F.col("_k").alias(key), "first_key", "copies")

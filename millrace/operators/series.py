@@ -114,3 +114,25 @@ def lift_between(df: DataFrame, by: Sequence[str], flag: Column, value: str) ->
     """Mean with and without a condition and the percentage between them: ``with_mean, without_mean, pct_change``."""
     out = df.groupBy(*by).agg(F.avg(F.when(flag, F.col(value))).alias("with_mean"), F.avg(F.when(~flag, F.col(value))).alias("without_mean"))
     return out.withColumn("pct_change", 100.0 * ratio(F.col("with_mean") - F.col("without_mean"), F.col("without_mean")))
+
+
+def trailing_count(df: DataFrame, key: str, at: str, seconds: int, name: str = "in_window") -> DataFrame:
+    """Add how many rows of the same key lie in the ``seconds`` up to and including each row (ties count).
+
+    Rows are dealt to time blocks of that length and repeated in the next one, so a busy key is
+    counted by as many tasks as it has blocks. Rows without key or time are left out.
+    """
+    us = F.unix_micros(F.col(at).cast("timestamp"))
+    span = seconds * 1_000_000
+    rows = df.where(F.col(key).isNotNull() & F.col(at).isNotNull()).withColumn("_us", us).withColumn("_home", F.floor(F.col("_us") / span))
+    rows = rows.withColumn("_block", F.explode(F.array(F.col("_home"), F.col("_home") + 1)))
+    w = Window.partitionBy(key, "_block").orderBy("_us").rangeBetween(-(span - 1), 0)
+    counted = rows.withColumn(name, F.count(F.lit(1)).over(w))
+    return counted.where("_block = _home").drop("_us", "_home", "_block")
+
+
+def last_rows_mean(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], rows: int = 30) -> DataFrame:
+    """Mean of the last ``rows`` rows of each group per column, NULLs left out."""
+    w = Window.partitionBy(*keys).orderBy(F.desc(order))
+    last = df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= rows)
+    return last.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in columns])

@@ -238,3 +238,37 @@ def correlation(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFr
 
 def running_window(keys: Sequence[str], order: str, first: int, last: int):
     return Window.partitionBy(*keys).orderBy(order).rowsBetween(first, last)
+
+
+def monitoring(df: DataFrame, score: str, flagged: Column, label: Column) -> DataFrame:
+    """``n, mean, flagged_rate, p95, distribution``; p95 is the value at position floor(0.95 n) of the sorted scores.
+
+    The position is found in the counts per distinct score, and the distribution is a map of label counts.
+    """
+    rows = df.where(F.col(score).isNotNull())
+    one = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean"), ratio(F.count_if(flagged), F.count(F.lit(1))).alias("flagged_rate"))
+    counts = rows.groupBy(F.col(score).alias("score")).agg(F.count(F.lit(1)).alias("c")).withColumn("_all", F.lit(1)).withColumn("_block", F.floor(F.col("score") / 0.01))
+    before = running_total(counts, ["_all"], "_block", ["score"], "c", "before")
+    at = F.floor(one.select("n").scalar() * 0.95)
+    p95 = before.where((F.col("before") <= at) & (at < F.col("before") + F.col("c"))).agg(F.max("score")).scalar()
+    told = rows.groupBy(label.alias("l")).agg(F.count(F.lit(1)).alias("c")).where("l IS NOT NULL")
+    pairs = told.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("l", "c"))))).scalar()
+    return one.withColumn("p95", p95).withColumn("distribution", pairs)
+
+
+def gaps_to_overall(groups: DataFrame, overall: DataFrame, measure: str) -> DataFrame:
+    """Add ``gap``: the measure of each group less that of all rows."""
+    return groups.withColumn("gap", F.col(measure) - overall.select(measure).scalar())
+
+
+def drift_report(baseline: DataFrame, current: DataFrame, columns: Sequence[str], least: int = 10, least_rows: int = 50) -> DataFrame:
+    """``column, psi, status, alert`` for every column with enough values; empty if there are too few rows."""
+    spark = baseline.sparkSession
+    sizes = current.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    out = spark.createDataFrame([], "column string, psi double, status string, alert boolean")
+    if sizes["rows"] < least_rows:
+        return out
+    for i, c in enumerate(columns):
+        if sizes[f"c{i}"] >= least:
+            out = out.unionByName(psi(baseline, current, c).withColumn("column", F.lit(c)).withColumn("alert", F.col("status") == "SIGNIFICANT"))
+    return out

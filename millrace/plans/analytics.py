@@ -428,9 +428,8 @@ def temperature_correlation(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3599999999 MICROSECOND PRECEDING AND CURRENT ROW) AS in_last_hour FROM events""")
 def rate_limit(spark: SparkSession, folder: str) -> DataFrame:
-    e = table(spark, folder, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    w = Window.partitionBy("user_id").orderBy("us").rangeBetween(-3_599_999_999, 0)
-    return e.select("event_id", "user_id", F.count(F.lit(1)).over(w).alias("in_last_hour"))
+    e = table(spark, folder, "events")
+    return series.trailing_count(e, "user_id", "ts", 3600, "in_last_hour").select("event_id", "user_id", "in_last_hour")
 
 
 # Quality ----------------------------------------------------------------------------------------
@@ -628,6 +627,73 @@ def neighbour_similarity(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.groupBy("left_label", "right_label").agg(F.count(F.lit(1)).alias("pairs"), F.avg(vectors.cosine(F.col("embedding"), F.col("other"))).alias("mean_similarity"))
 
 
+@query(f"""WITH c AS (SELECT isodow(day) >= 6 AS weekend, t, a, count(*) AS n, avg(rides) AS m, var_samp(rides) AS v FROM {S_DID} GROUP BY 1, 2, 3)
+  SELECT weekend, CAST(sum(n) AS BIGINT) AS n, sum(CASE WHEN t = a THEN m ELSE -m END) AS did, sqrt(sum(v / (n - 1))) AS se FROM c GROUP BY 1""")
+def did_by_weekend(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _did(spark, folder).withColumn("weekend", F.weekday("day") >= 5)
+    return stats.difference_in_differences(rows, F.col("t"), F.col("a"), "rides", ["weekend"]).select("weekend", "n", "did", "se")
+
+
+@query(f"""WITH c AS (SELECT shift, t, day >= DATE '1998-06-01' + shift AS a, avg(rides) AS m FROM {S_DID}, (VALUES (-14), (0), (14)) s(shift) GROUP BY 1, 2, 3)
+  SELECT shift, sum(CASE WHEN t = a THEN m ELSE -m END) AS did FROM c GROUP BY 1""")
+def did_robustness(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _did(spark, folder).withColumn("shift", F.explode(F.array(F.lit(-14), F.lit(0), F.lit(14))))
+    after = F.col("day") >= F.date_add(F.lit("1998-06-01").cast("date"), F.col("shift"))
+    return stats.difference_in_differences(rows, F.col("t"), after, "rides", ["shift"]).select("shift", "did")
+
+
+@query(f"""SELECT t AS treated, avg(rides) FILTER (NOT a) AS before, avg(rides) FILTER (a) AS after, avg(rides) FILTER (a) - avg(rides) FILTER (NOT a) AS change FROM {S_DID} GROUP BY 1""")
+def did_quadrants(spark: SparkSession, folder: str) -> DataFrame:
+    out = _did(spark, folder).groupBy(F.col("t").alias("treated")).agg(F.avg(F.when(~F.col("a"), F.col("rides"))).alias("before"), F.avg(F.when(F.col("a"), F.col("rides"))).alias("after"))
+    return out.withColumn("change", F.col("after") - F.col("before"))
+
+
+@query("""WITH p AS (SELECT route, avg(rides) FILTER (kind = 'W') AS w, avg(rides) FILTER (kind = 'A') AS a, avg(rides) FILTER (kind = 'U') AS u FROM
+  (SELECT DISTINCT route, service_date, rides, upper(trim(day_type)) AS kind FROM cta_ridership_sample WHERE rides BETWEEN 0 AND 100000 AND day_type IS NOT NULL) GROUP BY 1)
+  SELECT route, w / greatest(w, a, u) AS "W", a / greatest(w, a, u) AS "A", u / greatest(w, a, u) AS "U" FROM p""")
+def day_type_profile(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "cta_ridership_sample").where("rides BETWEEN 0 AND 100000 AND day_type IS NOT NULL")
+    rows = rows.select("route", "service_date", "rides", F.upper(F.trim("day_type")).alias("kind")).distinct()
+    return R.row_profile(R.pivot(rows, ["route"], "kind", ["W", "A", "U"], F.avg("rides")), ["W", "A", "U"])
+
+
+@query("""WITH r AS (SELECT route, temperature_2m, windspeed_10m, row_number() OVER (PARTITION BY route ORDER BY service_date DESC) AS n FROM
+  (SELECT DISTINCT route, service_date, temperature_2m, windspeed_10m FROM cta_ridership_sample WHERE temperature_2m IS NOT NULL))
+  SELECT route, avg(temperature_2m) AS temperature_2m, avg(windspeed_10m) AS windspeed_10m FROM r WHERE n <= 30 GROUP BY 1""")
+def recent_weather(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "cta_ridership_sample").where("temperature_2m IS NOT NULL").select("route", "service_date", "temperature_2m", "windspeed_10m").distinct()
+    return series.last_rows_mean(rows, ["route"], "service_date", ["temperature_2m", "windspeed_10m"])
+
+
+@query(f"""WITH s AS (SELECT score, count_if(y) AS pos, count_if(NOT y) AS neg, grp FROM {S_SCORED} GROUP BY score, grp),
+  b AS (SELECT grp, pos, neg, coalesce(sum(neg) OVER (PARTITION BY grp ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM s),
+  o AS (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (SELECT score, sum(pos) AS pos, sum(neg) AS neg FROM s GROUP BY 1)),
+  g AS (SELECT grp, sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)) AS auc FROM b GROUP BY 1)
+  SELECT grp, auc, auc - (SELECT sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)) FROM o) AS gap FROM g""")
+def fairness_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _scored(spark, folder)
+    groups = stats.auc(rows, "score", F.col("y"), ["grp"], 50, 5).select("grp", "auc")
+    return stats.gaps_to_overall(groups, stats.auc(rows, "score", F.col("y")), "auc")
+
+
+@query(f"""SELECT count(*) AS n, avg(score) AS mean, count_if(score >= 0.5) / count(*) AS flagged_rate,
+  list_sort(list(score))[CAST(floor(count(*) * 0.95) AS INTEGER) + 1] AS p95 FROM {S_SCORED}""")
+def monitoring_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return stats.monitoring(_scored(spark, folder), "score", F.col("score") >= 0.5, F.col("grp")).drop("distribution")
+
+
+@query("""WITH t AS (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS k FROM documents WHERE text IS NOT NULL),
+  g AS (SELECT k, min(doc_id) AS first_key, count(*) AS copies FROM t GROUP BY 1 HAVING count(*) > 1) SELECT doc_id, first_key, copies FROM t JOIN g USING (k)""")
+def near_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return R.near_copies(table(spark, folder, "documents"), "doc_id", text.plain(F.col("text")))
+
+
+@query()
+def drift_report(spark: SparkSession, folder: str) -> DataFrame:
+    o = table(spark, folder, "orders").select(F.year("o_orderdate").alias("y"), "o_totalprice", F.col("o_custkey").alias("customer"))
+    return stats.drift_report(o.where("y < 1998"), o.where("y >= 1998"), ["o_totalprice", "customer"])
+
+
 # Learning ---------------------------------------------------------------------------------------
 def _order_rows(spark, folder):
     o = table(spark, folder, "orders").join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
