@@ -131,3 +131,17 @@ def messages(events: DataFrame, key: str, attributes: Sequence[str]) -> DataFram
     """Events as ``key, value, headers`` for a message sink."""
     headers = F.array(*[F.struct(F.lit(a).alias("key"), F.encode(F.col(a).cast("string"), "UTF-8").alias("value")) for a in attributes])
     return events.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct("*")).alias("value"), headers.alias("headers"))
+
+
+def session_sink(events: DataFrame, table, user: str, event: str, at: str, received: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
+    """Keep a ``SessionTable`` up to date from a stream: each micro batch is one batch of the table.
+
+    A batch that is delivered again changes nothing, since the table knows the events it has seen.
+    """
+    from millrace.operators.sessions import distinct_events
+
+    def write(batch: DataFrame, _: int) -> None:
+        table.apply(distinct_events(batch, user, event, at, received))
+
+    writer = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()

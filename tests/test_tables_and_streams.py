@@ -199,3 +199,18 @@ def test_ordered_fold(spark):
 
     got = pipeline.ordered_fold(turns, "conv", "turn", step, "conv string, turn int, so_far string")
     assert rows(got) == [("c", 1, "a"), ("c", 2, "ab"), ("d", 1, "z")]
+
+
+def test_stream_into_session_table(spark, tmp_path):
+    from millrace.operators.sessions import SessionTable
+
+    schema = "event_id string, user_id bigint, at timestamp_ntz, got timestamp_ntz"
+    t = datetime(2024, 1, 1, 23, 50)
+    parts = [[("a", 1, 0), ("b", 1, 50)], [("m", 1, 25), ("c", 2, 0)], [("m", 1, 25), ("z", 1, 300)]]
+    table = SessionTable(spark, str(tmp_path / "sessions"))
+    for part in parts:
+        rows_ = [(e, u, t + timedelta(minutes=m), t) for e, u, m in part]
+        spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "ev"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "ev"))
+        pipeline.session_sink(stream, table, "user_id", "event_id", "at", "got", str(tmp_path / "cp")).awaitTermination()
+    assert rows(table.read(), "user_id", "first_event_id", "last_event_id", "events") == [(1, "a", "b", 3), (1, "z", "z", 1), (2, "c", "c", 1)]
