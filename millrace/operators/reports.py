@@ -19,13 +19,12 @@ def totals(df: DataFrame, measures: Mapping[str, Column], by: Sequence[str] = ()
 def with_share(df: DataFrame, value: str, name: str, within: Sequence[str] = ()) -> DataFrame:
     """Add the percentage of ``value`` in its total, over all rows or within groups.
 
-    The total is an aggregate joined back, not a window over everything, which would move all rows
-    to one task. NULL values have a NULL share; a total of 0 gives NULL.
+    Meant for aggregated rows. The total over all rows is a scalar subquery, not a window, which would
+    move all rows to one task; within groups it is a window. NULL values have a NULL share; a total of 0
+    gives NULL.
     """
     if within:
-        total = df.groupBy(*within).agg(F.sum(value).alias("_total"))
-        joined = df.join(total, list(within))
-        return joined.withColumn(name, 100.0 * ratio(F.col(value), F.col("_total"))).drop("_total")
+        return df.withColumn(name, 100.0 * ratio(F.col(value), F.sum(value).over(Window.partitionBy(*within))))
     total = df.agg(F.sum(value)).scalar()
     return df.withColumn(name, 100.0 * ratio(F.col(value), total))
 
