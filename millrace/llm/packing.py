@@ -16,6 +16,14 @@ ITEMS = "pack_name string, capacity int, doc_id bigint, piece_no int, char_start
 PLACED = f"{ITEMS}, container string, used int"
 
 
+def capacities(sizes: DataFrame, most: int = 1000) -> dict[str, int]:
+    """Capacity by name from a parameter table; more than ``most`` rows are refused. NULLs and sizes below 1 are ignored."""
+    rows = sizes.select("pack_name", "capacity_tokens").na.drop().where("capacity_tokens > 0").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} capacities")
+    return {r.pack_name: r.capacity_tokens for r in rows}
+
+
 def pieces(text: str, capacity: int, path: str = VOCABULARY, ids: list[int] | None = None) -> list[tuple[int, int, int]]:
     """``(char_start, char_end, tokens)`` of the pieces of a text that do not exceed the capacity.
 

@@ -18,8 +18,7 @@ def query(fn):
 
 @query
 def p7_packed_texts(spark: SparkSession, folder: str) -> DataFrame:
-    sizes = table(spark, folder, "pack_capacities").limit(1000).collect()
-    wanted = {r.pack_name: r.capacity_tokens for r in sizes}
+    wanted = packing.capacities(table(spark, folder, "pack_capacities"))
     return packing.packed_texts(table(spark, folder, "documents"), "doc_id", "text", wanted)
 
 
