@@ -74,12 +74,21 @@ def classify(text: str) -> tuple[str, str, list[str], list[str]]:
     return "loose", "", words, content
 
 
+def plain(text: str) -> str:
+    """The text with entities decoded and special spaces and line ends made plain."""
+    return html.unescape(text).replace("\u00a0", " ").replace("\u200b", "").replace("\r\n", "\n").replace("\r", "\n")
+
+
+def all_words(text: str | None) -> list[str]:
+    """The words of the whole text in order, whatever kind its units are."""
+    return [w.lower() for w in WORD.findall(plain(text))] if text else []
+
+
 def units(text: str) -> list[Unit]:
-    """The units of a text in order. Entities are decoded and special spaces made plain."""
-    plain = html.unescape(text).replace("\u00a0", " ").replace("\u200b", "").replace("\r\n", "\n").replace("\r", "\n")
+    """The units of a text in order."""
     out: list[Unit] = []
     block = 0
-    for line in plain.split("\n"):
+    for line in plain(text).split("\n"):
         line = line.strip()
         if not line:
             block += 1

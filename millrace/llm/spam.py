@@ -3,75 +3,88 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.listing import survey
-from millrace.operators.skew import salted_join
-from millrace.runtime import cut
+from millrace.llm.listing import all_words, survey
 
 SHINGLE = 5
 """Words in a phrase."""
+WEIGHTS = [pow(0x9E3779B97F4A7C15, i, 2**64) for i in range(SHINGLE)]
+
+
+def _rows(docs: DataFrame, doc: str, text: str, host: str) -> DataFrame:
+    rows = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(host), F.lit("")).alias("host"))
+    return rows.where("doc_id IS NOT NULL")
 
 
 def surveyed(docs: DataFrame, doc: str, text: str, host: str) -> DataFrame:
-    """List density of every text: ``doc_id, host, size, listed, words`` (the words of its list-like parts)."""
+    """Size in units of every text and of its list-like parts: ``doc_id, size, listed``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [survey(t) for t in b["text"]]
-            yield pd.DataFrame(
-                {
-                    "doc_id": b["doc_id"], "host": b["host"],
-                    "size": [x[0] for x in found], "listed": [x[1] for x in found], "words": [x[2] for x in found],
-                }
-            )
+            yield pd.DataFrame({"doc_id": b["doc_id"], "size": [x[0] for x in found], "listed": [x[1] for x in found]})
+
+    return _rows(docs, doc, text, host).select("doc_id", "text").mapInPandas(run, "doc_id bigint, size bigint, listed bigint")
+
+
+def hashed_phrases(words: list[str], known: dict[str, int]) -> np.ndarray:
+    """The distinct five-word phrases of a text as 64-bit hashes; ``known`` keeps the hashes of words."""
+    if len(words) < SHINGLE:
+        return np.empty(0, "int64")
+    for w in set(words).difference(known):
+        known[w] = int.from_bytes(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    h = np.fromiter(map(known.__getitem__, words), "uint64", len(words))
+    n = len(words) - SHINGLE + 1
+    return np.unique(sum(h[i : i + n] * np.uint64(m) for i, m in enumerate(WEIGHTS))).view("int64")
 
-    rows = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(host), F.lit("")).alias("host"))
-    return rows.where("doc_id IS NOT NULL").mapInPandas(
-        run, "doc_id bigint, host string, size bigint, listed bigint, words array<string>"
-    )
 
+def phrases(docs: DataFrame, doc: str, text: str, host: str) -> DataFrame:
+    """The distinct five-word phrases (hashes) of the whole text of each page: ``doc_id, host, phrase``."""
 
-def phrases(pages: DataFrame) -> DataFrame:
-    """The distinct five-word phrases (hashes) of the list-like parts of each page: ``doc_id, host, phrase``."""
-    starts = F.sequence(F.lit(1), F.size("words") - (SHINGLE - 1))
-    grams = F.transform(starts, lambda i: F.xxhash64(F.slice(F.col("words"), i, SHINGLE)))
-    return pages.where(F.size("words") >= SHINGLE).select("doc_id", "host", F.explode(F.array_distinct(grams)).alias("phrase"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            known: dict[str, int] = {}
+            yield pd.DataFrame({"doc_id": b["doc_id"], "host": b["host"], "phrases": [hashed_phrases(all_words(t), known) for t in b["text"]]})
+
+    rows = _rows(docs, doc, text, host).mapInPandas(run, "doc_id bigint, host string, phrases array<bigint>")
+    return rows.select("doc_id", F.xxhash64("host").alias("host"), F.explode("phrases").alias("phrase"))
+
+
+def replicated_shares(grams: DataFrame, hosts: int = 3) -> DataFrame:
+    """The share of each page's phrases that ``hosts`` or more distinct hosts hold: ``doc_id, replicated``.
+
+    The phrases of all pages are shuffled and sorted once; the rank of the last host among a phrase's
+    rows is the number of its distinct hosts. A phrase has at most one row a page.
+    """
+    held = grams.withColumn("rank", F.dense_rank().over(Window.partitionBy("phrase").orderBy("host")))
+    held = held.withColumn("hosts", F.max("rank").over(Window.partitionBy("phrase")))
+    return held.groupBy("doc_id").agg(F.avg((F.col("hosts") >= hosts).cast("double")).alias("replicated"))
 
 
 def score_pages(docs: DataFrame, doc: str, text: str, host: str, hosts: int = 3) -> DataFrame:
     """How spammy each page is: ``doc_id, density, replicated, score``.
 
     ``density`` is the share of the text in list-like units: links, tags, offers, menus, repeated
-    keywords, search phrases. ``replicated`` is the share of the five-word phrases of those units that
-    the list-like text of ``hosts`` or more distinct hosts holds, counted over all documents. The two are
+    keywords, search phrases. ``replicated`` is the share of the five-word phrases of the whole text that
+    ``hosts`` or more distinct hosts hold anywhere in their texts, counted over all documents. The two are
     joined as ``density + 0.1 * (2 * replicated - 1)``: a page stitched from phrases that others
-    have too is flagged from a density of 0.4 on, one whose lists are its own only from 0.6 on.
+    have too is flagged from a density of 0.4 on, one whose phrases are its own only from 0.6 on.
 
-    Prose has no list-like units, so its phrases need not be exploded; the counts are still complete.
-    A host counts once per phrase, however many pages it has, and a phrase that a third of all
-    pages share is counted by partial sums and joined by ``salted_join``. NULL and blank texts
-    have density 0; a NULL host is one host; repeated rows of a doc_id give one row.
+    Ordinary sentences repeat across hosts more than spam does, so a page with fewer lists than that is
+    none however often its phrases come up. A host counts once per phrase, however many pages it has.
+    NULL and blank texts have density 0; a NULL host is one host; repeated rows of a doc_id give one row.
     """
-    pages = cut(surveyed(docs, doc, text, host).dropDuplicates(["doc_id"]))
-    grams = phrases(pages)
-    spread = (
-        grams.select("phrase", "host").distinct().groupBy("phrase").agg(F.count(F.lit(1)).alias("hosts")).where(F.col("hosts") >= hosts)
-    )
-    common = salted_join(grams.select("doc_id", "phrase"), spread.select("phrase"), ["phrase"], "left_semi")
-    shared = common.groupBy("doc_id").agg(F.count(F.lit(1)).alias("shared"))
-    total = pages.where(F.size("words") >= SHINGLE).select("doc_id", F.size(F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.size("words") - (SHINGLE - 1)), lambda i: F.xxhash64(F.slice(F.col("words"), i, SHINGLE))
-    ))).alias("all"))
+    pages = surveyed(docs, doc, text, host).groupBy("doc_id").agg(F.sum("size").alias("size"), F.sum("listed").alias("listed"))
     density = F.coalesce(F.try_divide(F.col("listed").cast("double"), "size"), F.lit(0.0))
-    replicated = F.coalesce(F.try_divide(F.col("shared").cast("double"), "all"), F.lit(0.0))
-    scored = (
-        pages.select("doc_id", density.alias("density")).join(total, "doc_id", "left").join(shared, "doc_id", "left")
-        .select("doc_id", "density", replicated.alias("replicated"))
-    )
+    shares = replicated_shares(phrases(docs, doc, text, host), hosts)
+    scored = pages.select("doc_id", density.alias("density")).join(shares, "doc_id", "left")
+    scored = scored.select("doc_id", "density", F.coalesce("replicated", F.lit(0.0)).alias("replicated"))
     return scored.withColumn("score", F.col("density") + 0.1 * (2 * F.col("replicated") - 1))
 
 

@@ -75,3 +75,15 @@ def test_scores_have_one_row_per_document(spark):
     docs = _docs(spark, PAGES.items())
     scored = spam.score_pages(docs, "doc_id", "text", "site")
     assert rows(scored, "doc_id") == sorted([(i,) for i in PAGES], key=repr)
+
+
+def test_hosts_outside_lists_count(spark):
+    menu = "Silver rings | Gold rings | Pearl rings | Login | Sitemap | Offers | Garden hoses | Oak tables"
+    told = "They told us that silver rings gold rings pearl rings login was all that the page of the shop had to say about it."
+    docs = _docs(spark, [(1, menu), (2, told), (4, told + " We had a look at it ourselves.")])
+    got = {r.doc_id: r.replicated for r in spam.score_pages(docs, "doc_id", "text", "site").collect()}
+    words = {i: listing.WORD.findall(t.lower()) for i, t in ((1, menu), (2, told))}
+    shared = 3
+    assert listing.survey(told)[2] is None
+    assert round(got[1], 9) == round(shared / (len(words[1]) - 4), 9)
+    assert round(got[2], 9) == round(shared / (len(words[2]) - 4), 9)
