@@ -141,8 +141,9 @@ def settle(found: list[Unit]) -> list[Unit]:
 
 
 def plainly_prose(text: str) -> bool:
-    """Whether counts of words and marks alone show that the text is prose, so that no unit has to be looked at.
+    """Whether counts of words and marks alone suggest that the text is prose.
 
+    They don't prove it (prose with a list of commas passes), so ``survey`` looks at the units of every text.
     Prose has many function words, ends its sentences with full stops, hardly asks or shouts, has no
     links, tags or separators to speak of, and no word that keeps coming back.
     """
@@ -170,8 +171,6 @@ def survey(text: str | None) -> tuple[int, int, list[str] | None]:
     """Size of the text in units, size of its lists, and the words of the lists in order (None without lists)."""
     if text is None or not text.strip():
         return 0, 0, None
-    if plainly_prose(text):
-        return len(text), 0, None
     found = settle(units(text))
     listed = [u for u in found if u.kind == "list"]
     return sum(u.size for u in found), sum(u.size for u in listed), [w for u in listed for w in u.words] or None

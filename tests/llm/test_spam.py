@@ -77,6 +77,18 @@ def test_scores_have_one_row_per_document(spark):
     assert rows(scored, "doc_id") == sorted([(i,) for i in PAGES], key=repr)
 
 
+def test_density_is_that_of_the_units_for_every_text():
+    told = "We were there when it was on. It is not for you if you have it. They will do that once. He had his and she had her own. You can go with us. This was how it was. "
+    goods = "Leather wallets, garden furniture, silver rings, winter jackets, oak tables, desk lamps, wool scarves, canvas bags, curtain fabrics."
+    listed = told + goods
+    texts = [t for t in PAGES.values() if t] + [listed, NOTES + listed, PROSE * 3 + "\n\n" + listed]
+    assert listing.plainly_prose(listed)
+    for text in texts:
+        found = listing.settle(listing.units(text))
+        assert listing.survey(text)[:2] == (sum(u.size for u in found), sum(u.size for u in found if u.kind == "list"))
+    assert listing.survey(listed)[1] > 0
+
+
 def test_hosts_outside_lists_count(spark):
     menu = "Silver rings | Gold rings | Pearl rings | Login | Sitemap | Offers | Garden hoses | Oak tables"
     told = "They told us that silver rings gold rings pearl rings login was all that the page of the shop had to say about it."
