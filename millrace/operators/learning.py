@@ -92,10 +92,13 @@ def tf_idf(df: DataFrame, key: str, text: str, most: int = 5000, min_df: int = 2
     tf = 1 + ln(count), idf = 1 + ln((1 + documents) / (1 + df)).
     """
     w = df.select(F.col(key).alias("key"), words(F.col(text)).alias("w"))
-    lists = [F.col("w")] + [
-        F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i, n=n: F.array_join(F.slice(F.col("w"), i, n), " "))).otherwise(F.array().cast("array<string>"))
-        for n in range(2, grams + 1)
-    ]
+
+    def joined(n: int):
+        starts = F.sequence(F.lit(1), F.size("w") - (n - 1))
+        # One parameter only: transform passes the index to a second one.
+        return F.when(F.size("w") >= n, F.transform(starts, lambda i: F.array_join(F.slice(F.col("w"), i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    lists = [F.col("w")] + [joined(n) for n in range(2, grams + 1)]
     counts = w.select("key", F.explode(F.concat(*lists)).alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"))
     docs = df.agg(F.count(F.lit(1))).scalar()
     vocabulary = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n")).where(F.col("df") >= min_df).orderBy(F.desc("n"), "term").limit(most)

@@ -731,6 +731,13 @@ def tf_idf_weights(spark: SparkSession, folder: str) -> DataFrame:
     return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum("weight"), 5).alias("total"), F.round(F.max("weight"), 5).alias("largest"))
 
 
+@query()
+def tf_idf_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """The weights of the 5,000 most frequent words and word pairs (tf_idf_weights has what its SQL has)."""
+    w = learning.tf_idf(table(spark, folder, "documents"), "doc_id", "text")
+    return w.select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
 @query()
 def sector_classifier(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "startups_sample").where("sector IS NOT NULL AND description IS NOT NULL").select("id", F.lower(F.trim("sector")).alias("sector"), "description").distinct()
