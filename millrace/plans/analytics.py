@@ -600,11 +600,24 @@ def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
     return _bm25(spark, folder).select("query_id", F.round("score", 6).alias("score"), "position")
 
 
+def _bm25_documents(spark, folder, k=10):
+    docs = table(spark, folder, "documents")
+    return retrieval.bm25(docs, "doc_id", {"text": 1.0}, docs.where("doc_id % 50 = 0"), "doc_id", "text", k)
+
+
+@query()
+def bm25_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts of every 50th document asked of all documents (bm25_topk asks what its SQL asks)."""
+    return _bm25_documents(spark, folder).select("query_id", "doc_id", F.round("score", 6).alias("score"), "position")
+
+
 @query()
 def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
-    asked = spark.createDataFrame(list(ASKED), "id int, q string")
-    again = retrieval.bm25(table(spark, folder, "documents"), "doc_id", {"site": 1.0, "text": 0.5}, asked, "id", "q", 20)
-    return retrieval.reciprocal_rank_fusion([_bm25(spark, folder, 20), again], "doc_id")
+    """Lexical hits fused with those of a vector search; documents have no embeddings, so their vectors are hashed word counts."""
+    docs = table(spark, folder, "documents").select("doc_id", text.words(F.col("text")).alias("w")).where("size(w) > 0")
+    v = learning.hashed_words(docs, "w", 256).select("doc_id", learning.vector_to_array("features").alias("v"))
+    near = retrieval.cosine_top_k(v, "doc_id", "v", v.where("doc_id % 50 = 0"), "doc_id", "v", 20).withColumnRenamed("key", "doc_id")
+    return retrieval.reciprocal_rank_fusion([_bm25_documents(spark, folder, 20), near], "doc_id")
 
 
 @query()

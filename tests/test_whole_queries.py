@@ -27,3 +27,13 @@ def test_tf_idf_has_words_and_pairs(spark, small):
     got = {(r.doc_id, r.term): r.weight for r in entry.queries()["tf_idf_terms"](spark, small).collect()}
     assert got.keys() == want.keys() and any(" " in t for _, t in got)
     assert all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_searches_ask_every_fiftieth_document(spark, small):
+    asked = {d for d, w in _words(spark, small).items() if d % 50 == 0 and w}
+    found = entry.queries()["bm25_documents"](spark, small).collect()
+    assert asked and {r.query_id for r in found} == asked
+    fused = entry.queries()["rrf_fusion"](spark, small).collect()
+    assert {r.query_id for r in fused} == asked
+    for q in asked:
+        assert any(r.query_id == q and r.doc_id == q for r in fused)
