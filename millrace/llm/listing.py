@@ -1,11 +1,10 @@
-"""How much of a text is lists, links and repeated keywords rather than sentences (for problem 9)."""
+"""What a single line or sentence shows: whether it states something or lists, links or repeats (for problem 9)."""
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
-from dataclasses import dataclass, field
+from collections.abc import Iterator
 
 # Common function words of the languages in the corpus.
 FUNCTION_WORDS = frozenset(
@@ -22,155 +21,77 @@ FUNCTION_WORDS = frozenset(
     """.split()
 )
 
-URL = re.compile(r"https?://|www\.|\]\(|<a\s|href=|\b[a-z0-9-]{4,}\.[a-z]{3,8}(?:/\S*|(?=[\s)\"|*,<]|$))")
-TAG = re.compile(r"#\w|\btag:|\(\d+\)")
-OFFER = re.compile(r"\bSKU\d+|-\d+ ?%|\b\d+[.,]\d\d\b|\bsize \d+", re.I)
+URL = re.compile(r"://|www\.|\]\(|<a\s|href=|\b[a-z0-9-]{4,}\.[a-z]{3,8}(?:/\S*|(?=[\s)\"|*,<]|$))")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 SENTENCES = re.compile(r"(?<=[.!?…])[\"')\]]*\s+")
-ITEMS = re.compile(r"[|»>•·;,/]| - | – |\s\*\s|\t")
-ENDS = re.compile(r"[.!?…:;]['\")\]»]*\s*$")
+ITEMS = re.compile(r"[|»>•·;,/]| - | – |\s\*\s|\t|\(\d+\)")
+CLOSERS = "'\")]» \t"
 
-
-@dataclass
-class Unit:
-    """A line or sentence: ``kind`` is ``list``, ``sentence`` or ``loose`` (short of evidence)."""
-
-    size: int
-    words: list[str]
-    content: list[str]
-    kind: str
-    ends: str
-    block: int = 0
-    evidence: str = field(default="")
-
-
-def classify(text: str) -> tuple[str, str, list[str], list[str]]:
-    """The kind of one unit, what shows it, its words and its content words."""
-    words = [w.lower() for w in WORD.findall(text)]
-    content = [w for w in words if w not in FUNCTION_WORDS]
-    n = len(words)
-    share = 1 - len(content) / n if n else 0.0
-    closed = ENDS.search(text) is not None
-    if URL.search(text):
-        return "list", "link", words, content
-    tags = len(TAG.findall(text))
-    if tags >= 2 and tags * 4 >= n:
-        return "list", "tags", words, content
-    if share < 0.15 and len(OFFER.findall(text)) >= (2 if closed else 1):
-        return "list", "offer", words, content
-    if len(content) >= 4 and len(content) - len(set(content)) >= max(2, 0.3 * len(content)):
-        most = max(map(content.count, set(content)))
-        if not closed or most >= (2 if share < 0.2 else 3 if share < 0.35 else 4):
-            return "list", "repeated", words, content
-    items = [x for x in ITEMS.split(text) if x.strip()]
-    if len(items) >= 4 and n <= 3.5 * len(items) and share < 0.12:
-        return "list", "items", words, content
-    if not closed and (n >= 5 or (n and share < 0.12)):
-        return "list", "open", words, content
-    if share < 0.12 and n and text.rstrip()[-1:] in "!?":
-        return "list", "shout", words, content
-    if n >= 5 and share >= 0.2 and closed:
-        return "sentence", "", words, content
-    return "loose", "", words, content
+LISTED, STATED, OPEN, ASKED = 1, 0, -1, -2
 
 
 def plain(text: str) -> str:
     """The text with entities decoded and special spaces and line ends made plain."""
-    return html.unescape(text).replace("\u00a0", " ").replace("\u200b", "").replace("\r\n", "\n").replace("\r", "\n")
+    return html.unescape(text).replace(" ", " ").replace("​", "").replace("\r\n", "\n").replace("\r", "\n")
 
 
-def all_words(text: str | None) -> list[str]:
-    """The words of the whole text in order, whatever kind its units are."""
-    return [w.lower() for w in WORD.findall(plain(text))] if text else []
+def kind(unit: str, words: list[str]) -> int:
+    """``LISTED``, ``STATED``, or without evidence ``ASKED`` or ``OPEN`` for one line or sentence.
 
+    Links list. So do units whose content words keep coming back, and units that do not end like a
+    statement: without any end mark, or asking and shouting with next to no function words. A
+    statement has five words or more, function words among them, and ends with a full stop or colon.
+    """
+    if URL.search(unit):
+        return LISTED
+    n = len(words)
+    content = [w for w in words if w not in FUNCTION_WORDS]
+    c = len(content)
+    share = 1 - c / n if n else 0.0
+    if c >= 4 and share < 0.5 and c - len(set(content)) >= max(2, 0.3 * c):
+        return LISTED
+    end = unit.rstrip(CLOSERS)[-1:]
+    if end in ".…:;" and end:
+        return STATED if n >= 5 and share >= 0.2 else OPEN
+    if n and share < 0.12:
+        return LISTED
+    if end and end in "!?":
+        return ASKED
+    return OPEN if n < 5 else LISTED
+
+
+def pieces(text: str | None) -> Iterator[tuple[list[str], int, bool, bool]]:
+    """The items of a text in order: ``(words, characters, listed, decided)``.
+
+    Units are lines and sentences, items what separators part in them. An open unit follows the larger
+    part of its paragraph; where that says nothing it is a statement, and ``decided`` is false. Three or more
+    questions that outweigh the statements of their paragraph are a list of search phrases, undecided too.
+    """
+    if not text:
+        return
+    paragraph: list[tuple[list[tuple[list[str], int]], int, int]] = []
+
+    def settle() -> Iterator[tuple[list[str], int, bool, bool]]:
+        weight = {LISTED: 0, STATED: 0, OPEN: 0, ASKED: 0}
+        for _, size, k in paragraph:
+            weight[k] += size
+        asks = weight[ASKED] > weight[STATED] and sum(k == ASKED for _, _, k in paragraph) >= 3
+        looks = {LISTED: True, STATED: False, OPEN: weight[LISTED] > weight[STATED], ASKED: asks or weight[LISTED] > weight[STATED]}
+        for items, _, k in paragraph:
+            for words, size in items:
+                yield words, size, looks[k], k >= 0
+        paragraph.clear()
 
-def units(text: str) -> list[Unit]:
-    """The units of a text in order."""
-    out: list[Unit] = []
-    block = 0
     for line in plain(text).split("\n"):
         line = line.strip()
         if not line:
-            block += 1
+            yield from settle()
             continue
-        for part in SENTENCES.split(line):
-            part = part.strip()
-            if part:
-                kind, evidence, words, content = classify(part)
-                out.append(Unit(len(part), words, content, kind, part[-1], block, evidence))
-    return out
-
-
-def settle(found: list[Unit]) -> list[Unit]:
-    """Give undecided units the kind of their paragraph and find paragraphs that circle around a search phrase.
-
-    A paragraph of four or more units is a run of search phrases if nearly all are questions, or if most
-    share a content word and at least half do not end like statements. Other loose units follow the decided units of their
-    paragraph; without any they are notes, not lists. So is a paragraph of three or more units in which a
-    pair of content words comes up more often than once a unit and function words are few. A text that never ends a statement and
-    has list-like parts is a list as a whole.
-    """
-    blocks: dict[int, list[Unit]] = {}
-    for u in found:
-        blocks.setdefault(u.block, []).append(u)
-    for group in blocks.values():
-        if len(group) >= 4:
-            asked = sum(u.ends == "?" for u in group)
-            common = Counter(w for u in group for w in set(u.content)).most_common(1)
-            if common and common[0][1] >= 0.6 * len(group) and sum(u.ends != "." for u in group) >= 0.5 * len(group):
-                asked = len(group)
-            if asked >= 0.7 * len(group):
-                for u in group:
-                    u.kind, u.evidence = "list", u.evidence or "phrase"
-        if len(group) >= 3:
-            pairs = Counter(p for u in group for p in zip(u.content, u.content[1:])).most_common(1)
-            words = sum(len(u.words) for u in group)
-            plain = sum(len(u.content) for u in group) >= 0.64 * words
-            if pairs and plain and pairs[0][1] >= 1.3 * len(group):
-                for u in group:
-                    u.kind, u.evidence = "list", u.evidence or "pair"
-        listed = sum(u.size for u in group if u.kind == "list")
-        stated = sum(u.size for u in group if u.kind == "sentence")
-        for u in group:
-            if u.kind == "loose":
-                u.kind = "list" if listed > stated and listed > 0 and listed * 2 >= sum(x.size for x in group if x.kind == "loose") else "note"
-    if len(found) >= 2 and not any(u.ends == "." for u in found) and any(u.kind == "list" for u in found):
-        for u in found:
-            u.kind, u.evidence = "list", u.evidence or "unended"
-    return found
-
-
-def plainly_prose(text: str) -> bool:
-    """Whether counts of words and marks alone suggest that the text is prose.
-
-    They don't prove it (prose with a list of commas passes), so ``survey`` looks at the units of every text.
-    Prose has many function words, ends its sentences with full stops, hardly asks or shouts, has no
-    links, tags or separators to speak of, and no word that keeps coming back.
-    """
-    words = text.lower().split()
-    n = len(words)
-    if n < 8:
-        return False
-    counts = Counter(words)
-    function = sum(c for w, c in counts.items() if w in FUNCTION_WORDS)
-    stops = text.count(".")
-    marks = text.count("?") + text.count("!") + text.count("|") + text.count("#") + text.count("//") + text.count("](")
-    marks += text.count("<a") + text.count("www.") + text.count(">") + text.count("tag:") + text.count(":")
-    lines = sum(1 for x in text.split("\n") if x.strip() and x.rstrip()[-1] not in ".;")
-    most = max((c for w, c in counts.items() if w not in FUNCTION_WORDS and w.isalpha()), default=0)
-    return (
-        function >= 0.27 * n
-        and n <= 26 * stops
-        and marks <= 0.02 * n + 1
-        and lines * 12 <= n
-        and most <= max(2, 0.075 * n)
-    )
-
-
-def survey(text: str | None) -> tuple[int, int, list[str] | None]:
-    """Size of the text in units, size of its lists, and the words of the lists in order (None without lists)."""
-    if text is None or not text.strip():
-        return 0, 0, None
-    found = settle(units(text))
-    listed = [u for u in found if u.kind == "list"]
-    return sum(u.size for u in found), sum(u.size for u in listed), [w for u in listed for w in u.words] or None
+        for unit in SENTENCES.split(line):
+            if not unit:
+                continue
+            items = [(WORD.findall(x.lower()), len(x)) for x in ITEMS.split(unit)]
+            items = [x for x in items if x[0]]
+            every = items[0][0] if len(items) == 1 else [w for ws, _ in items for w in ws]
+            paragraph.append((items or [([], len(unit))], len(unit), kind(unit, every)))
+    yield from settle()

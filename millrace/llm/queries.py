@@ -45,4 +45,4 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
     scores = spam.score_pages(table(spark, folder, "documents"), "doc_id", "text", "site")
-    return scores.select("doc_id", *[F.round(c, 6).alias(c) for c in ("density", "replicated", "score")])
+    return scores.select("doc_id", *[F.round(c, 6).alias(c) for c in ("density", "score")])

@@ -6,86 +6,186 @@ from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.listing import all_words, survey
+from millrace.llm.listing import pieces
 
 SHINGLE = 5
-"""Words in a phrase."""
-WEIGHTS = [pow(0x9E3779B97F4A7C15, i, 2**64) for i in range(SHINGLE)]
+"""Words in a phrase; an item of fewer words is a phrase as a whole."""
+WEIGHTS = [np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 2**64)) for i in range(SHINGLE)]
+FOLDED = 1_500_000
+"""Words after which a task hands on the phrases that it has folded."""
 
+SCHEMA = pa.schema([("phrase", pa.int64()), ("refs", pa.list_(pa.int64())), ("codes", pa.list_(pa.int32()))])
 
-def _rows(docs: DataFrame, doc: str, text: str, host: str) -> DataFrame:
-    rows = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(host), F.lit("")).alias("host"))
-    return rows.where("doc_id IS NOT NULL")
 
+class Folder:
+    """Collects the phrases of documents and folds them: one row per phrase with all documents that hold it.
 
-def surveyed(docs: DataFrame, doc: str, text: str, host: str) -> DataFrame:
-    """Size in units of every text and of its list-like parts: ``doc_id, size, listed``."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [survey(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "size": [x[0] for x in found], "listed": [x[1] for x in found]})
-
-    return _rows(docs, doc, text, host).select("doc_id", "text").mapInPandas(run, "doc_id bigint, size bigint, listed bigint")
-
+    ``refs`` alternates document and host, ``codes`` says for each pair how many characters of the document
+    the phrase covers (times 8), whether these are mostly list-like (4), and whether the phrase stands there in a
+    decided list (1) or a decided statement (2). The documents' own sums travel in rows of negative codes:
+    size and listed characters, each less 1.
+    """
 
-def hashed_phrases(words: list[str], known: dict[str, int]) -> np.ndarray:
-    """The distinct five-word phrases of a text as 64-bit hashes; ``known`` keeps the hashes of words."""
-    if len(words) < SHINGLE:
-        return np.empty(0, "int64")
-    for w in set(words).difference(known):
-        known[w] = int.from_bytes(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-    h = np.fromiter(map(known.__getitem__, words), "uint64", len(words))
-    n = len(words) - SHINGLE + 1
-    return np.unique(sum(h[i : i + n] * np.uint64(m) for i, m in enumerate(WEIGHTS))).view("int64")
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes: list[int] = []
+        self.starts: list[int] = []
+        self.items: list[tuple[int, int, int, int]] = []  # document, phrases, characters, kind
+        self.docs: list[int] = []
+        self.hosts: list[int] = []
+        self.size: list[int] = []
+        self.listed: list[int] = []
+
+    def _hash(self, word: str) -> int:
+        v = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        if len(self.known) > 1_000_000:
+            self.known.clear()
+        self.known[word] = v
+        return v
+
+    def add(self, doc: int, host: int, text: str | None) -> None:
+        known, hashes, at = self.known, self.hashes, len(self.docs)
+        size = listed = 0
+        for words, chars, is_list, decided in pieces(text):
+            if words:
+                n = max(1, len(words) - SHINGLE + 1)
+                chars = max(n, chars // n * n)
+                self.starts.append(len(hashes))
+                self.items.append((at, n, chars // n, (4 if is_list else 0) | (0 if not decided else 1 if is_list else 2)))
+                hashes.extend([known.get(w) or self._hash(w) for w in words])
+                hashes.extend((0,) * (SHINGLE - 1))
+            size += chars
+            listed += chars if is_list else 0
+        self.docs.append(doc)
+        self.hosts.append(host)
+        self.size.append(size)
+        self.listed.append(listed)
+
+    def full(self) -> bool:
+        return len(self.hashes) > FOLDED
+
+    def fold(self) -> Iterator[pa.RecordBatch]:
+        """The rows collected so far."""
+        if self.docs:
+            yield self._sums()
+        if self.items:
+            yield self._phrases()
+        self.clear()
+
+    def _sums(self) -> pa.RecordBatch:
+        n = len(self.docs)
+        refs = np.empty((n, 2, 2), "int64")
+        refs[:, :, 0] = np.array(self.docs, "int64")[:, None]
+        refs[:, :, 1] = 0
+        codes = -1 - np.stack([np.array(self.size, "int64"), np.array(self.listed, "int64")], 1)
+        key = np.array(self.docs, "int64").view("uint64") * WEIGHTS[0]
+        bounds = np.arange(n + 1, dtype="int32")
+        return self._batch(key.view("int64"), bounds, refs.reshape(-1), codes.reshape(-1), 2)
+
+    def _phrases(self) -> pa.RecordBatch:
+        h = np.array(self.hashes, "uint64")
+        rolled = np.zeros(len(h) - SHINGLE + 1, "uint64")
+        for i, m in enumerate(WEIGHTS):
+            rolled += h[i : i + len(rolled)] * m
+        item = np.array(self.items, "int64")
+        counts = item[:, 1]
+        first = np.repeat(np.array(self.starts, "int64") - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
+        phrase = rolled[first + np.arange(counts.sum())].view("int64")
+        doc, chars, state = (np.repeat(item[:, i], counts) for i in (0, 2, 3))
+        order = np.lexsort((doc, phrase))
+        phrase, doc, chars, state = phrase[order], doc[order], chars[order], state[order]
+        pair = np.flatnonzero(np.concatenate([[True], (phrase[1:] != phrase[:-1]) | (doc[1:] != doc[:-1])]))
+        total = np.add.reduceat(chars, pair)
+        listed = np.add.reduceat(np.where(state & 4, chars, 0), pair)
+        seen = np.bitwise_or.reduceat(state & 3, pair)
+        codes = np.minimum(total, 2**27) * 8 + np.where(listed * 2 > total, 4, 0) + seen
+        phrase, doc = phrase[pair], doc[pair]
+        refs = np.stack([np.array(self.docs, "int64")[doc], np.array(self.hosts, "int64")[doc]], 1).reshape(-1)
+        heads = np.flatnonzero(np.concatenate([[True], phrase[1:] != phrase[:-1]]))
+        return self._batch(phrase[heads], np.append(heads, len(phrase)).astype("int32"), refs, codes, 1)
+
+    @staticmethod
+    def _batch(key, bounds, refs, codes, per: int) -> pa.RecordBatch:
+        lists = [
+            pa.ListArray.from_arrays(pa.array(bounds * 2 * per, pa.int32()), pa.array(refs)),
+            pa.ListArray.from_arrays(pa.array(bounds * per, pa.int32()), pa.array(codes.astype("int32"))),
+        ]
+        return pa.RecordBatch.from_arrays([pa.array(key), *lists], schema=SCHEMA)
 
 
 def phrases(docs: DataFrame, doc: str, text: str, host: str) -> DataFrame:
-    """The distinct five-word phrases (hashes) of the whole text of each page: ``doc_id, host, phrase``."""
+    """The phrases of whole texts and the sums of the documents: ``phrase, refs, codes`` (see ``Folder``)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder = Folder()
         for b in batches:
-            known: dict[str, int] = {}
-            yield pd.DataFrame({"doc_id": b["doc_id"], "host": b["host"], "phrases": [hashed_phrases(all_words(t), known) for t in b["text"]]})
+            for d, h, t in zip(*(b.column(i).to_pylist() for i in range(3))):
+                folder.add(d, h, t)
+                if folder.full():
+                    yield from folder.fold()
+        yield from folder.fold()
 
-    rows = _rows(docs, doc, text, host).mapInPandas(run, "doc_id bigint, host string, phrases array<bigint>")
-    return rows.select("doc_id", F.xxhash64("host").alias("host"), F.explode("phrases").alias("phrase"))
+    rows = docs.select(
+        F.col(doc).cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce(F.col(host), F.lit(""))).alias("host"), F.col(text).alias("text")
+    ).where("doc_id IS NOT NULL")
+    return rows.mapInArrow(run, "phrase bigint, refs array<bigint>, codes array<int>")
 
 
-def replicated_shares(grams: DataFrame, hosts: int = 3) -> DataFrame:
-    """The share of each page's phrases that ``hosts`` or more distinct hosts hold: ``doc_id, replicated``.
+def host_counts(grams: DataFrame, hosts: int) -> DataFrame:
+    """Phrases that ``hosts`` or more distinct hosts hold: ``phrase, hosts, in_lists, in_statements``.
 
-    The phrases of all pages are shuffled and sorted once; the rank of the last host among a phrase's
-    rows is the number of its distinct hosts. A phrase has at most one row a page.
+    ``in_lists`` and ``in_statements`` are the numbers of hosts that use the phrase so.
     """
-    held = grams.withColumn("rank", F.dense_rank().over(Window.partitionBy("phrase").orderBy("host")))
-    held = held.withColumn("hosts", F.max("rank").over(Window.partitionBy("phrase")))
-    return held.groupBy("doc_id").agg(F.avg((F.col("hosts") >= hosts).cast("double")).alias("replicated"))
+    each = grams.select("phrase", "refs", F.posexplode_outer("codes").alias("at", "code")).where("code >= 0")
+    held = each.groupBy("phrase", F.get("refs", F.col("at") * 2 + 1).alias("host")).agg(F.bit_or("code").alias("seen"))
+    return held.groupBy("phrase").agg(
+        F.count(F.lit(1)).alias("hosts"), F.count_if(F.col("seen").bitwiseAND(1) > 0).alias("in_lists"),
+        F.count_if(F.col("seen").bitwiseAND(2) > 0).alias("in_statements"),
+    ).where(F.col("hosts") >= hosts)
 
 
 def score_pages(docs: DataFrame, doc: str, text: str, host: str, hosts: int = 3) -> DataFrame:
-    """How spammy each page is: ``doc_id, density, replicated, score``.
-
-    ``density`` is the share of the text in list-like units: links, tags, offers, menus, repeated
-    keywords, search phrases. ``replicated`` is the share of the five-word phrases of the whole text that
-    ``hosts`` or more distinct hosts hold anywhere in their texts, counted over all documents. The two are
-    joined as ``density + 0.1 * (2 * replicated - 1)``: a page stitched from phrases that others
-    have too is flagged from a density of 0.4 on, one whose phrases are its own only from 0.6 on.
-
-    Ordinary sentences repeat across hosts more than spam does, so a page with fewer lists than that is
-    none however often its phrases come up. A host counts once per phrase, however many pages it has.
-    NULL and blank texts have density 0; a NULL host is one host; repeated rows of a doc_id give one row.
+    """How spammy each page is: ``doc_id, density, score``.
+
+    Texts are cut into lines and sentences and these at their separators; every five words in a row of
+    such an item are a phrase, and so is a shorter item. For each phrase the distinct hosts are counted that
+    hold it anywhere, that hold it in something list-like and that hold it in statements, over the whole
+    texts of all documents. Where ``hosts`` or more hold a phrase, their majority (the page's own use not
+    counted) says whether it is material that list pages are stitched from or ordinary speech, whatever
+    it looks like on the page itself. The page's own look decides for the other phrases and for ties.
+
+    ``density`` is the share of the page that looks like lists, ``score`` the share after the phrases have
+    been heard; a page is spam if that is more than half of it. A host counts once per phrase, however many
+    pages it has. NULL and blank texts have score 0; a NULL host is one host; repeated rows of a doc_id
+    are one page. The phrases are shuffled once, folded by task before; both the counts and
+    the verdicts are taken from that layout. A phrase has at most one entry a page, so one that a third
+    of all pages hold is still a small part of the entries.
     """
-    pages = surveyed(docs, doc, text, host).groupBy("doc_id").agg(F.sum("size").alias("size"), F.sum("listed").alias("listed"))
-    density = F.coalesce(F.try_divide(F.col("listed").cast("double"), "size"), F.lit(0.0))
-    shares = replicated_shares(phrases(docs, doc, text, host), hosts)
-    scored = pages.select("doc_id", density.alias("density")).join(shares, "doc_id", "left")
-    scored = scored.select("doc_id", "density", F.coalesce("replicated", F.lit(0.0)).alias("replicated"))
-    return scored.withColumn("score", F.col("density") + 0.1 * (2 * F.col("replicated") - 1))
+    grams = phrases(docs, doc, text, host).repartition("phrase")
+    told = host_counts(grams, hosts).drop("hosts")
+    code = F.col("code")
+    entry = grams.join(told.hint("merge"), "phrase", "left").select("refs", "in_lists", "in_statements", F.posexplode_outer("codes").alias("at", "code"))
+    lists = F.col("in_lists") - code.bitwiseAND(1)
+    states = F.col("in_statements") - F.shiftright(code.bitwiseAND(2), 1)
+    looks = code.bitwiseAND(4) > 0
+    chars = F.shiftright(code, 3)
+    moved = F.when((lists > states) & ~looks, chars).when((states > lists) & looks, -chars)
+    own = F.col("at") % 2
+    rows = entry.where((code < 0) | moved.isNotNull()).select(
+        F.get("refs", F.col("at") * 2).alias("doc_id"),
+        F.when((code < 0) & (own == 0), -1 - code).alias("size"), F.when((code < 0) & (own == 1), -1 - code).alias("listed"),
+        F.when(code >= 0, moved).alias("moved"),
+    )
+    sums = rows.groupBy("doc_id").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("size", "listed", "moved")])
+    share = lambda c: F.coalesce(F.try_divide(c.cast("double"), F.col("size")), F.lit(0.0))
+    return sums.select("doc_id", share(F.col("listed")).alias("density"), share(F.col("listed") + F.col("moved")).alias("score"))
 
 
 def spam_pages(docs: DataFrame, doc: str = "doc_id", text: str = "text", host: str = "site", threshold: float = 0.5) -> DataFrame:

@@ -45,57 +45,73 @@ def test_empty_table(spark):
     assert spam.spam_pages(_docs(spark, [(1, "x")]).limit(0)).count() == 0
 
 
-def test_prose_shortcut_agrees_with_the_units():
-    rng = random.Random(1)
-    parts = [PROSE, NOTES, PAGES[3], PAGES[6], PAGES[9], PAGES[12]]
-    for _ in range(300):
-        text = "\n\n".join(rng.choice(parts) for _ in range(rng.randint(1, 5)))
-        found = listing.settle(listing.units(text))
-        density = sum(u.size for u in found if u.kind == "list") / sum(u.size for u in found)
-        if listing.plainly_prose(text):
-            assert density < 0.36
-
-
-def test_hosts_of_phrases_by_brute_force(spark):
-    rng = random.Random(2)
-    pages = [(i, " ".join(rng.choice(["red ring", "blue hat", "best price", "near me"]) for _ in range(12))) for i in range(60)]
-    docs = _docs(spark, pages)
-    got = {r.doc_id: r.replicated for r in spam.score_pages(docs, "doc_id", "text", "site").collect()}
-    hosts, own = {}, {}
+def _brute(pages, hosts=3):
+    """Scores by dictionaries: (density, score) of every page."""
+    found, seen = {}, {}
     for i, t in pages:
-        w = listing.survey(t)[2] or []
-        own[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
-        for g in own[i]:
-            hosts.setdefault(g, set()).add(f"h{i}" if i % 3 else "")
-    want = {i: sum(len(hosts[g]) >= 3 for g in s) / len(s) if s else 0.0 for i, s in own.items()}
-    assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()}
+        site = f"h{i}" if i % 3 else ""
+        own, size, listed = {}, 0, 0
+        for words, chars, is_list, decided in listing.pieces(t):
+            if words:
+                n = max(1, len(words) - 4)
+                chars = max(n, chars // n * n)
+                for k in range(n):
+                    phrase = tuple(words[k : k + 5])
+                    got = own.setdefault(phrase, [0, 0, False, False])
+                    got[0] += chars // n
+                    got[1] += chars // n if is_list else 0
+                    got[2] |= decided and is_list
+                    got[3] |= decided and not is_list
+                    at = seen.setdefault(phrase, {}).setdefault(site, [False, False])
+                    at[0] |= decided and is_list
+                    at[1] |= decided and not is_list
+            size += chars
+            listed += chars if is_list else 0
+        found[i] = own, size, listed
+    out = {}
+    for i, (own, size, listed) in found.items():
+        moved = 0
+        for phrase, (chars, as_list, in_list, stated) in own.items():
+            at = seen[phrase].values()
+            if len(at) >= hosts:
+                lists, states = sum(x[0] for x in at) - in_list, sum(x[1] for x in at) - stated
+                looks = as_list * 2 > chars
+                moved += chars if lists > states and not looks else -chars if states > lists and looks else 0
+        out[i] = (round(listed / size, 9), round((listed + moved) / size, 9)) if size else (0.0, 0.0)
+    return out
+
+
+def test_scores_by_brute_force(spark):
+    rng = random.Random(2)
+    parts = [PROSE, NOTES, PAGES[3], PAGES[6], PAGES[9], PAGES[12], "red ring, blue hat, best price near me\n", "The red ring is where it was. ", ""]
+    parts += ["how much is a ring in oxbow\nwhere to buy a ring in oxbow"] * 3 + ["How much is a ring in oxbow. Where to buy a ring in oxbow."]
+    pages = [(i, "\n\n".join(rng.choice(parts) for _ in range(rng.randint(0, 4)))) for i in range(60)]
+    got = spam.score_pages(_docs(spark, pages), "doc_id", "text", "site").collect()
+    want = _brute(pages)
+    assert {r.doc_id: (round(r.density, 9), round(r.score, 9)) for r in got} == want
+    assert any(a != b for a, b in want.values())
+
+
+def test_phrases_of_other_hosts_decide(spark):
+    asked = "how much is a ring in oxbow\nwhere to buy a ring in oxbow\nwho has the best ring in oxbow"
+    stated = "How much is a ring in oxbow. Where to buy a ring in oxbow. Who has the best ring in oxbow."
+    docs = _docs(spark, [(1, asked), (2, asked), (4, asked), (5, stated), (7, stated + " " + PROSE)])
+    got = {r.doc_id: r for r in spam.score_pages(docs, "doc_id", "text", "site").collect()}
+    assert got[5].density < 0.5 < got[5].score
+    assert got[7].score < 0.5
+    alone = {r.doc_id: r for r in spam.score_pages(_docs(spark, [(5, stated)]), "doc_id", "text", "site").collect()}
+    assert alone[5].score == alone[5].density < 0.5
+
+
+def test_phrases_are_laid_out_once(spark):
+    plan = spam.score_pages(_docs(spark, PAGES.items()), "doc_id", "text", "site")
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in text or "AQEShuffleRead" in text
+    assert text.split("Initial Plan")[0].count("MapInArrow") == 1
 
 
 def test_scores_have_one_row_per_document(spark):
     docs = _docs(spark, PAGES.items())
     scored = spam.score_pages(docs, "doc_id", "text", "site")
     assert rows(scored, "doc_id") == sorted([(i,) for i in PAGES], key=repr)
-
-
-def test_density_is_that_of_the_units_for_every_text():
-    told = "We were there when it was on. It is not for you if you have it. They will do that once. He had his and she had her own. You can go with us. This was how it was. "
-    goods = "Leather wallets, garden furniture, silver rings, winter jackets, oak tables, desk lamps, wool scarves, canvas bags, curtain fabrics."
-    listed = told + goods
-    texts = [t for t in PAGES.values() if t] + [listed, NOTES + listed, PROSE * 3 + "\n\n" + listed]
-    assert listing.plainly_prose(listed)
-    for text in texts:
-        found = listing.settle(listing.units(text))
-        assert listing.survey(text)[:2] == (sum(u.size for u in found), sum(u.size for u in found if u.kind == "list"))
-    assert listing.survey(listed)[1] > 0
-
-
-def test_hosts_outside_lists_count(spark):
-    menu = "Silver rings | Gold rings | Pearl rings | Login | Sitemap | Offers | Garden hoses | Oak tables"
-    told = "They told us that silver rings gold rings pearl rings login was all that the page of the shop had to say about it."
-    docs = _docs(spark, [(1, menu), (2, told), (4, told + " We had a look at it ourselves.")])
-    got = {r.doc_id: r.replicated for r in spam.score_pages(docs, "doc_id", "text", "site").collect()}
-    words = {i: listing.WORD.findall(t.lower()) for i, t in ((1, menu), (2, told))}
-    shared = 3
-    assert listing.survey(told)[2] is None
-    assert round(got[1], 9) == round(shared / (len(words[1]) - 4), 9)
-    assert round(got[2], 9) == round(shared / (len(words[2]) - 4), 9)
