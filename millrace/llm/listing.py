@@ -21,7 +21,8 @@ FUNCTION_WORDS = frozenset(
     """.split()
 )
 
-URL = re.compile(r"://|www\.|\]\(|<a\s|href=|\b[a-z0-9-]{4,}\.[a-z]{3,8}(?:/\S*|(?=[\s)\"|*,<]|$))")
+MARKUP = ("://", "www.", "](", "<a ", "href=")
+ADDRESS = re.compile(r"\b[a-z0-9-]{4,}\.[a-z]{3,8}(?:/\S*|(?=[\s)\"|*,<]|$))")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 SENTENCES = re.compile(r"(?<=[.!?…])[\"')\]]*\s+")
 ITEMS = re.compile(r"[|»>•·;,/]| - | – |\s\*\s|\t|\(\d+\)")
@@ -42,7 +43,8 @@ def kind(unit: str, words: list[str]) -> int:
     statement: without any end mark, or asking and shouting with next to no function words. A
     statement has five words or more, function words among them, and ends with a full stop or colon.
     """
-    if URL.search(unit):
+    dot = unit.find(".")
+    if any([m in unit for m in MARKUP]) or (0 <= dot < len(unit) - 1 and ADDRESS.search(unit)):
         return LISTED
     n = len(words)
     content = [w for w in words if w not in FUNCTION_WORDS]

@@ -15,23 +15,36 @@ from millrace.llm.listing import pieces
 SHINGLE = 5
 """Words in a phrase; an item of fewer words is a phrase as a whole."""
 WEIGHTS = [np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 2**64)) for i in range(SHINGLE)]
+GAP = (0,) * (SHINGLE - 1)
 FOLDED = 1_500_000
 """Words after which a task hands on the phrases that it has folded."""
 
-SCHEMA = pa.schema([("phrase", pa.int64()), ("refs", pa.list_(pa.int64())), ("codes", pa.list_(pa.int32()))])
+MOST = 2**21 - 1
+"""Characters that one entry can hold; what a phrase covers beyond them takes further entries of the same page."""
+SCHEMA = pa.schema([pa.field("phrase", pa.int64(), False), pa.field("entries", pa.list_(pa.int64()))])
+
+
+class Hashes(dict):
+    """Words and their 64-bit hashes, computed when first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        v = self[word] = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return v
 
 
 class Folder:
     """Collects the phrases of documents and folds them: one row per phrase with all documents that hold it.
 
-    ``refs`` alternates document and host, ``codes`` says for each pair how many characters of the document
-    the phrase covers (times 8), whether these are mostly list-like (4), and whether the phrase stands there in a
-    decided list (1) or a decided statement (2). The documents' own sums travel in rows of negative codes:
-    size and listed characters, each less 1.
+    ``entries`` alternates a document and a number that says which host it is of (39 bits of a hash), how many of
+    its characters the phrase covers (21 bits), whether these are mostly list-like (4), and whether the phrase
+    stands there in a decided list (1) or a decided statement (2). The documents' own sums travel in rows of
+    their own, as negative numbers: size and listed characters, each less 1.
     """
 
     def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Hashes()
         self.clear()
 
     def clear(self) -> None:
@@ -43,15 +56,8 @@ class Folder:
         self.size: list[int] = []
         self.listed: list[int] = []
 
-    def _hash(self, word: str) -> int:
-        v = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        if len(self.known) > 1_000_000:
-            self.known.clear()
-        self.known[word] = v
-        return v
-
     def add(self, doc: int, host: int, text: str | None) -> None:
-        known, hashes, at = self.known, self.hashes, len(self.docs)
+        known, hashes, at = self.known.__getitem__, self.hashes, len(self.docs)
         size = listed = 0
         for words, chars, is_list, decided in pieces(text):
             if words:
@@ -59,8 +65,8 @@ class Folder:
                 chars = max(n, chars // n * n)
                 self.starts.append(len(hashes))
                 self.items.append((at, n, chars // n, (4 if is_list else 0) | (0 if not decided else 1 if is_list else 2)))
-                hashes.extend([known.get(w) or self._hash(w) for w in words])
-                hashes.extend((0,) * (SHINGLE - 1))
+                hashes.extend(map(known, words))
+                hashes.extend(GAP)
             size += chars
             listed += chars if is_list else 0
         self.docs.append(doc)
@@ -81,13 +87,9 @@ class Folder:
 
     def _sums(self) -> pa.RecordBatch:
         n = len(self.docs)
-        refs = np.empty((n, 2, 2), "int64")
-        refs[:, :, 0] = np.array(self.docs, "int64")[:, None]
-        refs[:, :, 1] = 0
-        codes = -1 - np.stack([np.array(self.size, "int64"), np.array(self.listed, "int64")], 1)
-        key = np.array(self.docs, "int64").view("uint64") * WEIGHTS[0]
-        bounds = np.arange(n + 1, dtype="int32")
-        return self._batch(key.view("int64"), bounds, refs.reshape(-1), codes.reshape(-1), 2)
+        doc = np.array(self.docs, "int64")
+        entries = np.stack([doc, -1 - np.array(self.size, "int64"), doc, -1 - np.array(self.listed, "int64")], 1)
+        return self._batch((doc.view("uint64") * WEIGHTS[0]).view("int64"), np.arange(n + 1) * 4, entries)
 
     def _phrases(self) -> pa.RecordBatch:
         h = np.array(self.hashes, "uint64")
@@ -105,23 +107,28 @@ class Folder:
         total = np.add.reduceat(chars, pair)
         listed = np.add.reduceat(np.where(state & 4, chars, 0), pair)
         seen = np.bitwise_or.reduceat(state & 3, pair)
-        codes = np.minimum(total, 2**27) * 8 + np.where(listed * 2 > total, 4, 0) + seen
+        flags = np.where(listed * 2 > total, 4, 0) + seen
         phrase, doc = phrase[pair], doc[pair]
-        refs = np.stack([np.array(self.docs, "int64")[doc], np.array(self.hosts, "int64")[doc]], 1).reshape(-1)
+        if total.max() > MOST:
+            times = -(-total // MOST)
+            last = np.cumsum(times) - 1
+            phrase, doc, flags = np.repeat(phrase, times), np.repeat(doc, times), np.repeat(flags, times)
+            rest = total - (times - 1) * MOST
+            total = np.full(len(phrase), MOST)
+            total[last] = rest
+        host = np.array(self.hosts, "int64")[doc] & (2**39 - 1)
+        entries = np.stack([np.array(self.docs, "int64")[doc], host << 24 | total << 3 | flags], 1)
         heads = np.flatnonzero(np.concatenate([[True], phrase[1:] != phrase[:-1]]))
-        return self._batch(phrase[heads], np.append(heads, len(phrase)).astype("int32"), refs, codes, 1)
+        return self._batch(phrase[heads], np.append(heads, len(phrase)) * 2, entries)
 
     @staticmethod
-    def _batch(key, bounds, refs, codes, per: int) -> pa.RecordBatch:
-        lists = [
-            pa.ListArray.from_arrays(pa.array(bounds * 2 * per, pa.int32()), pa.array(refs)),
-            pa.ListArray.from_arrays(pa.array(bounds * per, pa.int32()), pa.array(codes.astype("int32"))),
-        ]
-        return pa.RecordBatch.from_arrays([pa.array(key), *lists], schema=SCHEMA)
+    def _batch(key: np.ndarray, bounds: np.ndarray, entries: np.ndarray) -> pa.RecordBatch:
+        lists = pa.ListArray.from_arrays(pa.array(bounds.astype("int32")), pa.array(entries.reshape(-1)))
+        return pa.RecordBatch.from_arrays([pa.array(key), lists], schema=SCHEMA)
 
 
 def phrases(docs: DataFrame, doc: str, text: str, host: str) -> DataFrame:
-    """The phrases of whole texts and the sums of the documents: ``phrase, refs, codes`` (see ``Folder``)."""
+    """The phrases of whole texts and the sums of the documents: ``phrase, entries`` (see ``Folder``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder = Folder()
@@ -135,7 +142,7 @@ def phrases(docs: DataFrame, doc: str, text: str, host: str) -> DataFrame:
     rows = docs.select(
         F.col(doc).cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce(F.col(host), F.lit(""))).alias("host"), F.col(text).alias("text")
     ).where("doc_id IS NOT NULL")
-    return rows.mapInArrow(run, "phrase bigint, refs array<bigint>, codes array<int>")
+    return rows.mapInArrow(run, "phrase bigint NOT NULL, entries array<bigint>")
 
 
 def host_counts(grams: DataFrame, hosts: int) -> DataFrame:
@@ -143,8 +150,8 @@ def host_counts(grams: DataFrame, hosts: int) -> DataFrame:
 
     ``in_lists`` and ``in_statements`` are the numbers of hosts that use the phrase so.
     """
-    each = grams.select("phrase", "refs", F.posexplode_outer("codes").alias("at", "code")).where("code >= 0")
-    held = each.groupBy("phrase", F.get("refs", F.col("at") * 2 + 1).alias("host")).agg(F.bit_or("code").alias("seen"))
+    each = grams.select("phrase", F.posexplode_outer("entries").alias("at", "entry")).where("at % 2 = 1 AND entry >= 0")
+    held = each.groupBy("phrase", F.shiftright("entry", 24).alias("host")).agg(F.bit_or("entry").alias("seen"))
     return held.groupBy("phrase").agg(
         F.count(F.lit(1)).alias("hosts"), F.count_if(F.col("seen").bitwiseAND(1) > 0).alias("in_lists"),
         F.count_if(F.col("seen").bitwiseAND(2) > 0).alias("in_statements"),
@@ -170,18 +177,16 @@ def score_pages(docs: DataFrame, doc: str, text: str, host: str, hosts: int = 3)
     """
     grams = phrases(docs, doc, text, host).repartition("phrase")
     told = host_counts(grams, hosts).drop("hosts")
-    code = F.col("code")
-    entry = grams.join(told.hint("merge"), "phrase", "left").select("refs", "in_lists", "in_statements", F.posexplode_outer("codes").alias("at", "code"))
-    lists = F.col("in_lists") - code.bitwiseAND(1)
-    states = F.col("in_statements") - F.shiftright(code.bitwiseAND(2), 1)
-    looks = code.bitwiseAND(4) > 0
-    chars = F.shiftright(code, 3)
-    moved = F.when((lists > states) & ~looks, chars).when((states > lists) & looks, -chars)
-    own = F.col("at") % 2
-    rows = entry.where((code < 0) | moved.isNotNull()).select(
-        F.get("refs", F.col("at") * 2).alias("doc_id"),
-        F.when((code < 0) & (own == 0), -1 - code).alias("size"), F.when((code < 0) & (own == 1), -1 - code).alias("listed"),
-        F.when(code >= 0, moved).alias("moved"),
+    e = F.col("entry")
+    found = grams.join(told.hint("merge"), "phrase", "left").select("entries", "in_lists", "in_statements", F.posexplode_outer("entries").alias("at", "entry"))
+    lists = F.col("in_lists") - e.bitwiseAND(1)
+    states = F.col("in_statements") - F.shiftright(e.bitwiseAND(2), 1)
+    looks = e.bitwiseAND(4) > 0
+    chars = F.shiftright(e, 3).bitwiseAND(MOST)
+    moved = F.when(e >= 0, F.when((lists > states) & ~looks, chars).when((states > lists) & looks, -chars))
+    rows = found.where((F.col("at") % 2 == 1) & ((e < 0) | moved.isNotNull())).select(
+        F.get("entries", F.col("at") - 1).alias("doc_id"), F.when((e < 0) & (F.col("at") == 1), -1 - e).alias("size"),
+        F.when((e < 0) & (F.col("at") == 3), -1 - e).alias("listed"), moved.alias("moved"),
     )
     sums = rows.groupBy("doc_id").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("size", "listed", "moved")])
     share = lambda c: F.coalesce(F.try_divide(c.cast("double"), F.col("size")), F.lit(0.0))
