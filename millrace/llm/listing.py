@@ -24,11 +24,12 @@ FUNCTION_WORDS = frozenset(
 MARKUP = ("://", "www.", "](", "<a ", "href=")
 ADDRESS = re.compile(r"\b[a-z0-9-]{4,}\.[a-z]{3,8}(?:/\S*|(?=[\s)\"|*,<]|$))")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+NUMBER = re.compile(r"\d+")
 SENTENCES = re.compile(r"(?<=[.!?…])[\"')\]]*\s+")
 ITEMS = re.compile(r"[|»>•·;,/]| - | – |\s\*\s|\t|\(\d+\)")
 CLOSERS = "'\")]» \t"
 
-LISTED, STATED, OPEN, ASKED = 1, 0, -1, -2
+LISTED, STATED, OPEN, LOOSE = 1, 0, -1, -2
 
 
 def plain(text: str) -> str:
@@ -37,10 +38,10 @@ def plain(text: str) -> str:
 
 
 def kind(unit: str, words: list[str]) -> int:
-    """``LISTED``, ``STATED``, or without evidence ``ASKED`` or ``OPEN`` for one line or sentence.
+    """``LISTED``, ``STATED``, or without evidence ``OPEN`` (ends like a statement) or ``LOOSE`` for one line or sentence.
 
-    Links list. So do units whose content words keep coming back, and units that do not end like a
-    statement: without any end mark, or asking and shouting with next to no function words. A
+    Links list. So do units whose content words (numbers are such) keep coming back, long ones with next to no
+    function words, and units that do not end like a statement: without any end mark, or asking and shouting with next to no function words. A
     statement has five words or more, function words among them, and ends with a full stop or colon.
     """
     dot = unit.find(".")
@@ -49,17 +50,18 @@ def kind(unit: str, words: list[str]) -> int:
     n = len(words)
     content = [w for w in words if w not in FUNCTION_WORDS]
     c = len(content)
-    share = 1 - c / n if n else 0.0
-    if c >= 4 and share < 0.5 and c - len(set(content)) >= max(2, 0.3 * c):
+    share = (n - c) / n if n else 0.0
+    again = c - len(set(content))
+    if again >= 2 and share < 0.5 and again >= 0.3 * (c + len(NUMBER.findall(unit))):
+        return LISTED
+    if n >= 12 and share < 0.12:
         return LISTED
     end = unit.rstrip(CLOSERS)[-1:]
-    if end in ".…:;" and end:
+    if end and end in ".…:;":
         return STATED if n >= 5 and share >= 0.2 else OPEN
     if n and share < 0.12:
         return LISTED
-    if end and end in "!?":
-        return ASKED
-    return OPEN if n < 5 else LISTED
+    return LOOSE if n < 5 or end in "!?" else LISTED
 
 
 def pieces(text: str | None) -> Iterator[tuple[list[str], int, bool, bool]]:
@@ -67,18 +69,20 @@ def pieces(text: str | None) -> Iterator[tuple[list[str], int, bool, bool]]:
 
     Units are lines and sentences, items what separators part in them. An open unit follows the larger
     part of its paragraph; where that says nothing it is a statement, and ``decided`` is false. Three or more
-    questions that outweigh the statements of their paragraph are a list of search phrases, undecided too.
+    loose units (questions, short lines) that outweigh the statements of their paragraph are a list, undecided too.
     """
     if not text:
         return
     paragraph: list[tuple[list[tuple[list[str], int]], int, int]] = []
 
     def settle() -> Iterator[tuple[list[str], int, bool, bool]]:
-        weight = {LISTED: 0, STATED: 0, OPEN: 0, ASKED: 0}
+        weight = {LISTED: 0, STATED: 0, OPEN: 0, LOOSE: 0}
         for _, size, k in paragraph:
             weight[k] += size
-        asks = weight[ASKED] > weight[STATED] and sum(k == ASKED for _, _, k in paragraph) >= 3
-        looks = {LISTED: True, STATED: False, OPEN: weight[LISTED] > weight[STATED], ASKED: asks or weight[LISTED] > weight[STATED]}
+        told = weight[STATED] + weight[OPEN]
+        loose = weight[LOOSE] > told and sum(k == LOOSE for _, _, k in paragraph) >= 3
+        mostly = weight[LISTED] > weight[STATED]
+        looks = {LISTED: True, STATED: False, OPEN: mostly, LOOSE: loose or mostly}
         for items, _, k in paragraph:
             for words, size in items:
                 yield words, size, looks[k], k >= 0

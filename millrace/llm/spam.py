@@ -164,9 +164,9 @@ def score_pages(docs: DataFrame, doc: str, text: str, host: str, hosts: int = 3)
     Texts are cut into lines and sentences and these at their separators; every five words in a row of
     such an item are a phrase, and so is a shorter item. For each phrase the distinct hosts are counted that
     hold it anywhere, that hold it in something list-like and that hold it in statements, over the whole
-    texts of all documents. Where ``hosts`` or more hold a phrase, their majority (the page's own use not
-    counted) says whether it is material that list pages are stitched from or ordinary speech, whatever
-    it looks like on the page itself. The page's own look decides for the other phrases and for ties.
+    texts of all documents. Where ``hosts`` or more hold a phrase and more than half of them (the page's own
+    left out) use it in lists, it is material that list pages are stitched from, and where more than half use it in statements
+    it is ordinary speech, whatever it looks like on the page itself. The page's own look decides for the other phrases.
 
     ``density`` is the share of the page that looks like lists, ``score`` the share after the phrases have
     been heard; a page is spam if that is more than half of it. A host counts once per phrase, however many
@@ -176,21 +176,22 @@ def score_pages(docs: DataFrame, doc: str, text: str, host: str, hosts: int = 3)
     of all pages hold is still a small part of the entries.
     """
     grams = phrases(docs, doc, text, host).repartition("phrase")
-    told = host_counts(grams, hosts).drop("hosts")
+    told = host_counts(grams, hosts)
     e = F.col("entry")
-    found = grams.join(told.hint("merge"), "phrase", "left").select("entries", "in_lists", "in_statements", F.posexplode_outer("entries").alias("at", "entry"))
+    found = grams.join(told.hint("merge"), "phrase", "left").select("entries", "hosts", "in_lists", "in_statements", F.posexplode_outer("entries").alias("at", "entry"))
     lists = F.col("in_lists") - e.bitwiseAND(1)
     states = F.col("in_statements") - F.shiftright(e.bitwiseAND(2), 1)
+    others = F.col("hosts") - 1
     looks = e.bitwiseAND(4) > 0
     chars = F.shiftright(e, 3).bitwiseAND(MOST)
-    moved = F.when(e >= 0, F.when((lists > states) & ~looks, chars).when((states > lists) & looks, -chars))
+    moved = F.when(e >= 0, F.when((lists * 2 > others) & ~looks, chars).when((states * 2 > others) & looks, -chars))
     rows = found.where((F.col("at") % 2 == 1) & ((e < 0) | moved.isNotNull())).select(
         F.get("entries", F.col("at") - 1).alias("doc_id"), F.when((e < 0) & (F.col("at") == 1), -1 - e).alias("size"),
         F.when((e < 0) & (F.col("at") == 3), -1 - e).alias("listed"), moved.alias("moved"),
     )
     sums = rows.groupBy("doc_id").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("size", "listed", "moved")])
     share = lambda c: F.coalesce(F.try_divide(c.cast("double"), F.col("size")), F.lit(0.0))
-    return sums.select("doc_id", share(F.col("listed")).alias("density"), share(F.col("listed") + F.col("moved")).alias("score"))
+    return sums.select("doc_id", share(F.col("listed")).alias("density"), share(F.least(F.greatest(F.col("listed") + F.col("moved"), F.lit(0)), F.col("size"))).alias("score"))
 
 
 def spam_pages(docs: DataFrame, doc: str = "doc_id", text: str = "text", host: str = "site", threshold: float = 0.5) -> DataFrame:

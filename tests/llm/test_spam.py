@@ -76,8 +76,9 @@ def _brute(pages, hosts=3):
             if len(at) >= hosts:
                 lists, states = sum(x[0] for x in at) - in_list, sum(x[1] for x in at) - stated
                 looks = as_list * 2 > chars
-                moved += chars if lists > states and not looks else -chars if states > lists and looks else 0
-        out[i] = (round(listed / size, 9), round((listed + moved) / size, 9)) if size else (0.0, 0.0)
+                others = len(at) - 1
+                moved += chars if lists * 2 > others and not looks else -chars if states * 2 > others and looks else 0
+        out[i] = (round(listed / size, 9), round(min(max(listed + moved, 0), size) / size, 9)) if size else (0.0, 0.0)
     return out
 
 
