@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.skew import hot_keys, salted_join
 from millrace.runtime import cut
 
 # What stands in a list for "nobody known", in lower case.
@@ -34,12 +35,11 @@ _SOFT = re.compile(
 _EDGE = re.compile(rf"^(?:{_SPACE}|[,/])*(?:(?:and|&)(?:{_SPACE}+|$))?|(?:(?:{_SPACE}|[,/])(?:and|&))?(?:{_SPACE}|[,/])*$")
 _STOP = rf"(?={_SPACE}*(?:[,;|/\n\r\t]|(?:and|&){_SPACE}|$))"
 _QUOTED = re.compile(rf'"((?:[^"\\]|""|\\.)*)"{_STOP}' + "|" + rf"'((?:[^'\\]|''|\\.|'(?=\w))*)'{_STOP}")
-_OPENS = re.compile(rf"(?:^|[,;|/\n\r\t]|{_SPACE}(?:and|&)){_SPACE}*$|(?:^|[,;|/\n\r\t]){_SPACE}*(?:and|&){_SPACE}+$")
-
 
 @dataclass(frozen=True)
 class Segmentation:
-    """Parameters: ``parts`` is the largest number of pieces a name may be made of, ``rounds`` the EM rounds."""
+    """Parameters: ``parts`` is the number of pieces a name may be made of at least (more if a quoted name of
+    the column has more), ``rounds`` the EM rounds."""
 
     parts: int = 6
     rounds: int = 4
@@ -51,6 +51,7 @@ class Segmentation:
 
 # Where EM starts: the probability that a delimiter of a kind separates two names.
 START = {"comma_and": 0.95, "comma": 0.9, "slash": 0.9, "tight_slash": 0.05, "and": 0.2, "amp": 0.1}
+KINDS = {k: i for i, k in enumerate(START, 1)}
 
 
 def _trim(text: str) -> str:
@@ -62,6 +63,21 @@ def _unquote(double: str | None, single: str | None) -> str:
     return re.sub(r"\\(.)", r"\1", text.replace(quote * 2, quote))
 
 
+def _opens(gap: str, first: bool) -> bool:
+    """Whether a quote after ``gap`` (what stands since the last quoted span) starts a name: a delimiter comes before it."""
+    bare = gap.rstrip(BLANK)
+    after = gap[len(bare) :]
+    if not bare:
+        return first or not gap or not set(after).isdisjoint("\n\r\t")
+    if bare[-1] in ",;|/" or not set(after).isdisjoint("\n\r\t"):
+        return True
+    word = "and" if bare.endswith("and") else "&" if bare.endswith("&") else None
+    if word is None:
+        return False
+    head = bare[: -len(word)]
+    return bool(head and head[-1] in BLANK) or bool(after and (not head or head[-1] in ",;|/"))
+
+
 def segments(text: str | None) -> list[tuple[str, bool]]:
     """The parts of a field that are certain to be apart: ``(text, atomic)`` in order.
 
@@ -90,7 +106,7 @@ def segments(text: str | None) -> list[tuple[str, bool]]:
 
     begin = 0
     for m in _QUOTED.finditer(bare):
-        if not _OPENS.search(bare, max(begin, m.start() - 12), m.start()) and m.start() != begin:
+        if not _opens(bare[begin : m.start()], begin == 0):
             continue
         loose(bare[begin : m.start()])
         name = _trim(_unquote(m.group(1), m.group(2)))
@@ -125,8 +141,11 @@ class Lattice:
         self.nexts = [text[s:e] for s, e in spans[1:]]
 
     def keys(self) -> list[str]:
-        """Model keys: one per candidate name, then one per delimiter with the piece that follows it."""
-        return [f"v{v}" for v in self.values] + [f"b{k} {w}" for k, w in zip(self.kinds, self.nexts)]
+        """Model keys: one per candidate name, then one per delimiter with the piece that follows it.
+
+        The first character is 0 for a name and else the kind of the delimiter, counted from 1.
+        """
+        return [f"0{v}" for v in self.values] + [f"{KINDS[k]}{w}" for k, w in zip(self.kinds, self.nexts)]
 
     def _scores(self, known: list[float], start: dict[str, float], total: float, s: Segmentation):
         m = len(self.edges)
@@ -193,26 +212,31 @@ def _segments_udf():
     return cut_up
 
 
-def _keys_udf(parts: int):
+def _keys(texts, parts: int):
+    """The model keys of segments as numbers: a hash whose last three bits say what the key is of."""
+
     @F.pandas_udf("array<string>")
     def keys(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: Lattice(t, parts).keys())
 
-    return keys
+    return F.transform(keys(texts), _number)
+
 
+def _number(key):
+    return F.xxhash64(key).bitwiseAND(F.lit(-8)).bitwiseOR(F.substring(key, 1, 1).cast("bigint"))
 
-def _known(soft: DataFrame, model: DataFrame | None, parts: int) -> DataFrame:
-    """Segments with what the model knows about their keys, in the order of the keys."""
+
+def _known(soft: DataFrame, model: DataFrame | None, hot: DataFrame) -> DataFrame:
+    """Segments (``seg, text, weight, keys``) with what the model knows about their keys, in the order of the keys."""
     if model is None:
         return soft.withColumn("known", F.lit(None).cast("array<double>"))
-    keys = soft.select("text", "weight", F.posexplode(_keys_udf(parts)("text")).alias("at", "key"))
-    got = keys.join(model, "key", "left").groupBy("text").agg(
-        F.first("weight").alias("weight"), F.array_sort(F.collect_list(F.struct("at", "p"))).alias("k")
-    )
-    return got.select("text", "weight", F.col("k.p").alias("known"))
+    flat = soft.select("seg", F.posexplode("keys").alias("at", "key"))
+    got = salted_join(flat, model, ["key"], "left", hot=hot)
+    got = got.groupBy("seg").agg(F.array_sort(F.collect_list(F.struct("at", "p"))).alias("k"))
+    return soft.join(got, "seg").select("seg", "text", "weight", "keys", F.col("k.p").alias("known"))
 
 
-def learn(soft: DataFrame, names: DataFrame, s: Segmentation) -> tuple[DataFrame | None, dict[str, float], float]:
+def learn(soft: DataFrame, names: DataFrame, hot: DataFrame, s: Segmentation, parts: int) -> tuple[DataFrame | None, dict[str, float], float]:
     """Expectation-maximisation over all segments: value frequencies and what each delimiter does.
 
     The model is a table ``key, p``: discounted expected counts of values, and for a delimiter with
@@ -220,42 +244,38 @@ def learn(soft: DataFrame, names: DataFrame, s: Segmentation) -> tuple[DataFrame
     last piece of a quoted name it is known to stay). Only the six
     probabilities by kind and the total come to the driver.
     """
-    base = names.groupBy("text").agg(F.sum("weight").cast("double").alias("p")).select(F.concat(F.lit("v"), "text").alias("key"), "p")
-    base = cut(base)
+    base = cut(names.groupBy(_number(F.concat(F.lit("0"), "text")).alias("key")).agg(F.sum("weight").cast("double").alias("p")))
     sure = base.agg(F.sum("p")).first()[0] or 0.0
 
-    def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [(f"b{k} {x}", w) for t, w in zip(b["text"], b["weight"]) for lat in [Lattice(t, 1)] for k, x in [*zip(lat.kinds, lat.nexts)][-1:]]
-            yield pd.DataFrame(found, columns=["key", "kept"]).astype({"kept": "float64"})
+    @F.pandas_udf("string")
+    def last(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: (Lattice(t, 1).keys() or [None])[-1])
 
-    stays = cut(names.mapInPandas(kept, "key string, kept double").groupBy("key").agg(F.sum("kept").alias("kept")))
+    ends = names.where(F.col("text").rlike("[,/&]|(?i)and")).select(last("text").alias("key"), "weight").where("key NOT LIKE '0%'")
+    stays = cut(ends.groupBy(_number(F.col("key")).alias("key")).agg(F.sum("weight").cast("double").alias("kept")))
     model, start, total = None, dict(START), 0.0
     for _ in range(s.rounds):
 
         def expect(batches: Iterator[pd.DataFrame], start=start, total=total) -> Iterator[pd.DataFrame]:
             for b in batches:
-                keys, counts, cuts = [], [], []
+                ns, cs = [], []
                 for text, weight, known in zip(b["text"], b["weight"], b["known"]):
-                    lat = Lattice(text, s.parts)
+                    lat = Lattice(text, parts)
                     known = [None] * (len(lat.edges) + len(lat.kinds)) if known is None else list(known)
                     given, apart = lat.expect(known, start, total, s)
-                    for (i, j), v, p in zip(lat.edges, lat.values, given):
-                        if p > 1e-4:
-                            keys.append(f"v{v}")
-                            counts.append((p * weight, float(j - i > 1)))
-                    for k, w, p in zip(lat.kinds, lat.nexts, apart):
-                        keys.append(f"b{k} {w}")
-                        counts.append((weight, p * weight))
-                yield pd.DataFrame({"key": keys, "n": [c[0] for c in counts], "c": [c[1] for c in counts]})
-
-        parts = _known(soft, model, s.parts).mapInPandas(expect, "key string, n double, c double")
-        sums = cut(parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("c").alias("c"), F.max("c").alias("inner")))
-        cuts = sums.where(F.col("key").startswith("b")).withColumn("kind", F.split(F.substring("key", 2, 40), " ")[0])
+                    ns.append([p * weight for p in given] + [weight] * len(apart))
+                    cs.append([float(j - i > 1) for i, j in lat.edges] + [p * weight for p in apart])
+                yield pd.DataFrame({"keys": b["keys"], "n": ns, "c": cs})
+
+        told = _known(soft, model, hot).mapInPandas(expect, "keys array<bigint>, n array<double>, c array<double>")
+        flat = told.select(F.inline(F.arrays_zip("keys", "n", "c"))).withColumnRenamed("keys", "key")
+        sums = cut(flat.groupBy("key").agg(F.sum("n").alias("n"), F.sum("c").alias("c"), F.max("c").alias("inner")))
+        kind = F.col("key").bitwiseAND(F.lit(7))
+        cuts = sums.where(kind > 0).withColumn("kind", kind)
         by_kind = {r.kind: (r.n, r.c) for r in cuts.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).collect()}
-        start = {k: (by_kind.get(k, (0, 0))[1] + 5 * p) / (by_kind.get(k, (0, 0))[0] + 5) for k, p in START.items()}
-        prior = F.create_map(*[F.lit(x) for kv in start.items() for x in kv])[F.col("kind")]
-        values = sums.where(F.col("key").startswith("v")).select(
+        start = {k: (by_kind.get(i, (0, 0))[1] + 5 * START[k]) / (by_kind.get(i, (0, 0))[0] + 5) for k, i in KINDS.items()}
+        prior = F.create_map(*[F.lit(x) for k, i in KINDS.items() for x in (i, start[k])])[F.col("kind").cast("int")]
+        values = sums.where(kind == 0).select(
             "key", F.when(F.col("inner") > 0, F.greatest(F.col("n") - s.discount, F.lit(0.0))).otherwise(F.col("n")).alias("p")
         )
         counted = values.unionByName(base).groupBy("key").agg(F.sum("p").alias("p"))
@@ -276,32 +296,43 @@ def split_packed(df: DataFrame, key: str, text: str, settings: Segmentation = Se
     Fields are cut where that is certain (hard delimiters, quotes, list syntax). What remains may hold
     delimiters that are part of a name; those segments become lattices of candidate names. EM learns
     from the whole column how often each name occurs and whether a delimiter in front of a piece
-    separates, and Viterbi takes the likeliest split. Equal segments are handled once.
+    separates, and Viterbi takes the likeliest split. Equal segments are handled once; names and segments
+    that hold more than a hundredth of their table are spread by salts.
 
     Repeated rows count once; NULL, blank and placeholder values give no row; a value listed twice
     gives two rows. An empty table gives no rows.
     """
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key IS NOT NULL AND text IS NOT NULL").distinct()
-    parts = cut(
-        rows.select("key", F.xxhash64("text").alias("field"), F.posexplode(_segments_udf()("text")).alias("seg", "x"))
-        .select("key", "field", "seg", "x.text", "x.kind")
+    pieces = cut(
+        rows.select("key", F.xxhash64("text").alias("field"), F.posexplode(_segments_udf()("text")).alias("pos", "x"))
+        .select("key", "field", "pos", F.xxhash64("x.text").alias("seg"), "x.text", "x.kind")
     )
-    weights = parts.groupBy("text", "kind").agg(F.count(F.lit(1)).alias("weight"))
-    soft = cut(weights.where("kind = 'soft'").select("text", "weight"))
-    model, start, total = learn(soft, weights.where("kind = 'name'"), settings)
+    weights = pieces.groupBy("seg", "kind").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("weight"))
+    weights = cut(weights)
+    names = weights.where("kind = 'name'")
+
+    @F.pandas_udf("int")
+    def size(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: Lattice(t, 1).n)
+
+    most = names.where(F.col("text").rlike("[,/&]|(?i)and")).agg(F.max(size("text"))).first()[0] or 0
+    parts = max(settings.parts, most)
+    soft = cut(weights.where("kind = 'soft'").select("seg", "text", "weight", _keys(F.col("text"), parts).alias("keys")))
+    hot = cut(hot_keys(soft.select(F.explode("keys").alias("key")), ["key"]))
+    model, start, total = learn(soft, names, hot, settings, parts)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             names = []
             for t, known in zip(b["text"], b["known"]):
-                lat = Lattice(t, settings.parts)
+                lat = Lattice(t, parts)
                 names.append(lat.best([None] * (len(lat.edges) + len(lat.kinds)) if known is None else list(known), start, total, settings))
-            yield pd.DataFrame({"text": b["text"], "names": names})
+            yield pd.DataFrame({"seg": b["seg"], "names": names})
 
-    solved = _known(soft, model, settings.parts).mapInPandas(solve, "text string, names array<string>")
-    found = parts.where("kind = 'name'").select("key", "field", "seg", F.array("text").alias("names")).unionByName(
-        parts.where("kind = 'soft'").join(solved, "text").select("key", "field", "seg", "names")
+    solved = _known(soft, model, hot).mapInPandas(solve, "seg bigint, names array<string>")
+    found = pieces.where("kind = 'name'").select("key", "field", "pos", F.array("text").alias("names")).unionByName(
+        salted_join(pieces.where("kind = 'soft'").drop("text", "kind"), solved, ["seg"]).select("key", "field", "pos", "names")
     )
-    flat = found.select("key", "field", "seg", F.posexplode("names").alias("at", "value")).where(~F.lower("value").isin(sorted(NOBODY)))
-    place = Window.partitionBy("key", "field").orderBy("seg", "at")
+    flat = found.select("key", "field", "pos", F.posexplode("names").alias("at", "value")).where(~F.lower("value").isin(sorted(NOBODY)))
+    place = Window.partitionBy("key", "field").orderBy("pos", "at")
     return flat.select(F.col("key").alias(key), F.row_number().over(place).alias("position_no"), "value")

@@ -4,38 +4,115 @@ from __future__ import annotations
 
 import ast
 import json
+import re
 from collections.abc import Iterator, Mapping, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-NODES = "node string, parent string, entity string, parent_entity string, label string, ordinal int, kind string, scalar string"
-"""One row per JSON value. ``node`` is its path; ``entity`` is set on objects that stand for a record."""
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
+
+NODES = "node string, parent string, entity string, parent_entity string, label string, ordinal int, kind string, scalar string, record string, field string"
+"""One row per JSON value. ``node`` is its path; ``entity`` is set on objects that stand for a record.
+
+``record`` is the path of the record that a value belongs to, ``field`` its place below it, labels joined by "_":
+a scalar ``wrap`` of an object ``gift`` is the field ``gift_wrap``. An array of scalars also carries its JSON
+text as ``scalar``, under its own field.
+"""
+
+_SPACE = re.compile(r"[ \t\r\n\f\v]*")
+_WORD = re.compile(r"-?[A-Za-z0-9_.+-]+")
+_TEXT = re.compile(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'", re.S)
+_WORDS = {"null": None, "None": None, "true": True, "True": True, "false": False, "False": False}
+
+
+def read_deep(text: str):
+    """One JSON value or Python literal of any depth, read with a list in place of recursion; ValueError if it is none."""
+
+    def scalar(at: int):
+        m = _TEXT.match(text, at)
+        if m:
+            return (json.loads(m[0], strict=False) if m[0][0] == '"' else ast.literal_eval(m[0])), m.end()
+        m = _WORD.match(text, at)
+        if not m:
+            raise ValueError(f"no value at {at}")
+        return (_WORDS[m[0]] if m[0] in _WORDS else json.loads(m[0])), m.end()
+
+    skip = lambda i: _SPACE.match(text, i).end()
+    open_: list[tuple] = []  # containers that are not closed yet, with the key to fill
+    at, value, filled = skip(0), None, False
+    while True:
+        if not filled:
+            c = text[at : at + 1]
+            if c and c in "[{(":
+                open_.append([{} if c == "{" else [], "}" if c == "{" else "]" if c == "[" else ")", None])
+                at = skip(at + 1)
+                if text[at : at + 1] == open_[-1][1]:
+                    value, filled, at = open_.pop()[0], True, skip(at + 1)
+                    continue
+            else:
+                value, at = scalar(at)
+                filled, at = True, skip(at)
+                continue
+        else:
+            if not open_:
+                if at != len(text):
+                    raise ValueError(f"text after the value at {at}")
+                return value
+            held, end, key = open_[-1]
+            held.__setitem__(key, value) if end == "}" else held.append(value)
+            filled = False
+            mark = text[at : at + 1]
+            at = skip(at + 1)
+            if mark == "," and end != "]" and text[at : at + 1] == end:
+                mark, at = end, skip(at + 1)
+            if mark == end:
+                open_.pop()
+                value, filled = held, True
+                continue
+            if mark != ",":
+                raise ValueError(f"neither comma nor end at {at}")
+        if open_[-1][1] == "}":
+            open_[-1][2], at = scalar(at)
+            at = skip(at)
+            if text[at : at + 1] != ":":
+                raise ValueError(f"no colon at {at}")
+            at = skip(at + 1)
 
 
 def parse(text: str | None):
     """The value written in ``text`` by any of the clients, or None.
 
-    Byte order marks and white space around the value, text packed once more as a JSON string, and
+    Byte order marks and white space around the value, text packed any number of times as a JSON string, any depth, and
     Python literals (single quotes, None, True) are understood. Text that is cut off, empty or
     otherwise no value gives None; nothing is guessed.
     """
     value = text
-    for _ in range(4):
-        if not isinstance(value, str):
-            return value
+    while isinstance(value, str):
         bare = value.strip("\ufeff\u200b\u00a0 \t\r\n\f\v")
         if not bare:
             return None
         try:
             value = json.loads(bare)
-        except (ValueError, RecursionError):
+        except RecursionError:
+            try:
+                value = read_deep(bare)
+            except (ValueError, SyntaxError, KeyError, TypeError):
+                return None
+        except ValueError:
             try:
                 value = ast.literal_eval(bare)
-            except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+            except (MemoryError, RecursionError):
+                try:
+                    value = read_deep(bare)
+                except (ValueError, SyntaxError, KeyError, TypeError):
+                    return None
+            except (ValueError, SyntaxError, TypeError):
                 return None
-    return None
+        if value == bare:
+            return None
+    return value
 
 
 def _scalar(value) -> str | None:
@@ -55,27 +132,32 @@ def shred(value, entities: Sequence[str], root: str, wrapper: str) -> Iterator[t
         value = [value]
     if not isinstance(value, (list, tuple)):
         return
-    todo = [(str(i), None, root, None, root, i, x) for i, x in reversed(list(enumerate(value)))]
+    todo = [(str(i), None, root, None, root, i, x, None, "") for i, x in reversed(list(enumerate(value)))]
     while todo:
-        path, parent, entity, above, label, ordinal, x = todo.pop()
+        path, parent, entity, above, label, ordinal, x, record, field = todo.pop()
         if isinstance(x, dict):
             if not x:
                 continue
-            yield path, parent, entity, above, label, ordinal, "object", None
-            children = []
-            for key, child in x.items():
+            yield path, parent, entity, above, label, ordinal, "object", None, record, field
+            if entity is not None:
+                record, field = path, ""
+            here = entity if entity is not None else above
+            under = f"{field}_" if field else ""
+            for key, child in reversed(x.items()):
                 key = str(key)
                 if key in entities and isinstance(child, (dict, list, tuple)):
-                    for i, y in enumerate([child] if isinstance(child, dict) else child):
-                        children.append((f"{path}/{key}/{i}", path, key, entity, key, i, y))
+                    items = [child] if isinstance(child, dict) else child
+                    for i in range(len(items) - 1, -1, -1):
+                        todo.append((f"{path}/{key}/{i}", path, key, here, key, i, items[i], record, ""))
                 else:
-                    children.append((f"{path}/{key}", path, None, entity, key, 0, child))
-            todo.extend(reversed(children))
+                    todo.append((f"{path}/{key}", path, None, here, key, 0, child, record, f"{under}{key}"))
         elif isinstance(x, (list, tuple)):
-            yield path, parent, None, above, label, ordinal, "array", None
-            todo.extend(reversed([(f"{path}/{i}", path, None, above, label, i, y) for i, y in enumerate(x)]))
+            flat = None if any(isinstance(y, (dict, list, tuple)) for y in x) else json.dumps(list(x), ensure_ascii=False)
+            yield path, parent, None, above, label, ordinal, "array", flat, record, field
+            for i in range(len(x) - 1, -1, -1):
+                todo.append((f"{path}/{i}", path, None, above, label, i, x[i], record, f"{field}_{i}" if field else str(i)))
         elif x is not None and entity is None:
-            yield path, parent, None, above, label, ordinal, "scalar", _scalar(x)
+            yield path, parent, None, above, label, ordinal, "scalar", _scalar(x), record, field
 
 
 def latest(df: DataFrame, key: str, at: str, columns: Sequence[str]) -> DataFrame:
@@ -99,36 +181,42 @@ def adjacency(
     dialects, of which Spark's JSON reader knows one. Rows whose text gives no value have no nodes.
     """
     entities = list(entities)
+    kind = dict(df.dtypes)[key]
+    src = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text IS NOT NULL")
+    types = [src.schema["key"].dataType, *StructType.fromDDL(NODES)]
+    schema = pa.schema([("key", to_arrow_type(types[0]))] + [(f.name, to_arrow_type(f.dataType)) for f in types[1:]])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["key", "node", "parent", "entity", "parent_entity", "label", "ordinal", "kind", "scalar"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            keys: list = []
             rows: list[tuple] = []
-            for k, t in zip(batch["key"], batch["text"]):
-                rows.extend((k, *node) for node in shred(parse(t), entities, root, wrapper))
-                if len(rows) > 20_000:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows = []
-            yield pd.DataFrame(rows, columns=names).astype({"ordinal": "int32"})
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                before = len(rows)
+                rows.extend(shred(parse(t), entities, root, wrapper))
+                keys.extend([k] * (len(rows) - before))
+                if len(rows) > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([keys, *zip(*rows)], schema)], schema=schema)
+                    keys, rows = [], []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([keys, *zip(*rows)], schema)], schema=schema)
 
-    kind = dict(df.dtypes)[key]
-    src = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text IS NOT NULL")
-    return src.mapInPandas(run, f"key {kind}, {NODES}").withColumnRenamed("key", key)
+    return src.mapInArrow(run, f"key {kind}, {NODES}").withColumnRenamed("key", key)
 
 
 def entity_table(nodes: DataFrame, key: str, entity: str, fields: Mapping[str, Sequence[str]]) -> DataFrame:
-    """One row per object of ``entity`` with its scalar children as columns.
+    """One row per object of ``entity`` with the scalars that belong to it as columns.
 
-    ``fields`` maps a column to the labels it may have been written under. Output: ``key, node,
+    ``fields`` maps a column to the fields it may have been written under; scalars of plain objects nested in
+    the record belong to it too, as ``outer_inner``, and arrays of scalars as their JSON text. Output: ``key, node,
     parent, parent_entity, ordinal`` and the columns (text). Objects without scalars keep NULLs.
     """
     objects = nodes.where((F.col("kind") == "object") & (F.col("entity") == entity)).select(
         key, "node", "parent", "parent_entity", "ordinal"
     )
-    labels = [x for names in fields.values() for x in names]
+    known = [x for names in fields.values() for x in names]
     scalars = (
-        nodes.where((F.col("kind") == "scalar") & F.col("label").isin(labels))
-        .groupBy(key, F.col("parent").alias("node"))
-        .agg(*[F.max(F.when(F.col("label").isin(list(names)), F.col("scalar"))).alias(c) for c, names in fields.items()])
+        nodes.where(F.col("scalar").isNotNull() & F.col("field").isin(known))
+        .groupBy(key, F.col("record").alias("node"))
+        .agg(*[F.max(F.when(F.col("field").isin(list(names)), F.col("scalar"))).alias(c) for c, names in fields.items()])
     )
     return objects.join(scalars, [key, "node"], "left")

@@ -19,16 +19,16 @@ def hot_keys(df: DataFrame, keys: Sequence[str], most: int = HOT_KEYS) -> DataFr
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = 32
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = 32, hot: DataFrame | None = None
 ) -> DataFrame:
     """``left`` join ``right`` on ``keys`` where ``left`` may be skewed.
 
     ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``. Rows of hot keys are spread over
     ``salts`` tasks by a hash of the whole row and the right rows of those keys are repeated as often;
     all other keys are joined once. The list of hot keys is broadcast: it cannot exceed ``HOT_KEYS``.
-    NULL keys match nothing.
+    NULL keys match nothing. ``hot`` gives the keys from ``hot_keys`` if they are known already.
     """
-    hot = F.broadcast(hot_keys(left, keys).withColumn("_hot", F.lit(True)))
+    hot = F.broadcast((hot_keys(left, keys) if hot is None else hot).withColumn("_hot", F.lit(True)))
     mixed = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns if dict(left.dtypes)[c][:3] != "map"]), F.lit(salts)).cast("int")
     a = left.join(hot, list(keys), "left").withColumn("_salt", F.when(F.col("_hot"), mixed).otherwise(F.lit(0))).drop("_hot")
     every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))

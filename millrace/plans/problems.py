@@ -135,9 +135,9 @@ SQL["p5_orphan_report"] = _P5 + "SELECT table_name, period, count(*) AS orphan_r
 ENTITIES = ("options", "discounts", "tiers", "parts")
 # The labels under which clients write a field.
 FIELDS = {
-    "lines": {"product_id": ("productId", "product_id", "ProductId"), "quantity": ("quantity",), "unit_price": ("unitPrice",)},
-    "parts": {"product_id": ("productId", "product_id", "ProductId"), "quantity": ("quantity",), "unit_price": ("unitPrice",)},
-    "options": {"name": ("name",), "value": ("value",)},
+    "lines": {"product_id": ("productId", "product_id", "ProductId"), "quantity": ("quantity",), "unit_price": ("unitPrice",), "gift_message": ("gift_message",), "gift_wrap": ("gift_wrap",)},
+    "parts": {"product_id": ("productId", "product_id", "ProductId"), "quantity": ("quantity",), "unit_price": ("unitPrice",), "gift_message": ("gift_message",), "gift_wrap": ("gift_wrap",)},
+    "options": {"name": ("name",), "value": ("value",), "meta_by": ("meta_by",), "meta_flags": ("meta_flags",)},
     "discounts": {"code": ("code",), "amount": ("amount",)},
     "tiers": {"min": ("min",), "pct": ("pct",)},
 }

@@ -308,3 +308,53 @@ def test_shred_deep_and_entities(spark):
     parts = shred.entity_table(nodes, "id", "parts", {"product_id": ("productId",)})
     assert parts.where("id = 2").count() == 300 and rows(parts.where("id = 1"), "parent", "parent_entity") == [("0", "lines")]
     assert shred.adjacency(last.limit(0), "id", "body", ["parts"]).count() == 0
+
+
+def test_shred_text_packed_many_times_and_any_depth():
+    text = [LINE]
+    for _ in range(6):
+        text = json.dumps(text)
+    assert shred.parse(text) == [LINE]
+    deep = "[" * 20_000 + "{'parts': [{}]}" + "]" * 20_000
+    assert shred.parse(deep) is not None
+    nested = '{"productId": 1, "parts": [' * 12_000 + '{"productId": 2}' + "]}" * 12_000
+    found = sum(1 for n in shred.shred(shred.parse(nested), ["parts"], "lines", "products") if n[6] == "object")
+    assert found == 12_001
+
+
+@pytest.mark.parametrize("text", ["[1, 2", "[1 2]", "{'a' 1}", '{"a": }', "[1] x", "", "[nope]", "{[1]: 2}", '["x]'])
+def test_deep_reader_refuses_what_is_no_value(text):
+    with pytest.raises((ValueError, SyntaxError, KeyError, TypeError)):
+        shred.read_deep(text)
+
+
+def test_deep_reader_reads_both_dialects():
+    value = {"a": [1, 2.5, -3e4, "x\"y", None, True, {}, []], "b": {"c": "it's"}}
+    assert shred.read_deep(json.dumps(value)) == value
+    assert shred.read_deep(repr(value)) == value
+    assert shred.read_deep("{'a': (1, 2,), 'b': {'c': None,}}") == {"a": [1, 2], "b": {"c": None}}
+
+
+def test_scalars_of_nested_plain_objects_reach_their_record(spark):
+    body = json.dumps([{"productId": 1, "gift": {"wrap": True, "card": {"text": "hi"}}, "options": [{"name": "size", "meta": {"flags": [1, None], "by": "web"}}]}])
+    nodes = shred.adjacency(spark.createDataFrame([(1, body)], "id bigint, body string"), "id", "body", ["options"])
+    lines = shred.entity_table(nodes, "id", "lines", {"wrap": ("gift_wrap",), "card": ("gift_card_text",), "name": ("name",)})
+    assert rows(lines, "node", "wrap", "card", "name") == [("0", "true", "hi", None)]
+    options = shred.entity_table(nodes, "id", "options", {"flags": ("meta_flags",), "by": ("meta_by",)})
+    assert rows(options, "node", "flags", "by") == [("0/options/0", "[1, null]", "web")]
+
+
+def test_packed_quotes_after_long_gaps_and_names_of_many_pieces(spark):
+    many = "Ash, Bay, Cob, Dew, Elm, Fir & Gum"
+    texts = [f'Alpha Fund,{" " * 40}"Beta, Gamma LLC"', f'"{many}"; Alpha Fund', f'"{many}" | Beta Labs', f'"{many}"', many, f"Alpha Fund; {many}", '"A, B" "C, D"']
+    got = _split(spark, texts)
+    assert got[0] == ["Alpha Fund", "Beta, Gamma LLC"]
+    assert got[1] == [many, "Alpha Fund"]
+    assert got[4] == [many] and got[5] == ["Alpha Fund", many]
+
+
+def test_packed_hot_field_and_hot_name(spark):
+    texts = ["Alpha Fund, Beta Labs"] * 300 + [f"N{i} Fund / Beta Labs" for i in range(60)]
+    got = _split(spark, texts)
+    assert all(got[i] == ["Alpha Fund", "Beta Labs"] for i in range(300))
+    assert all(got[300 + i] == [f"N{i} Fund", "Beta Labs"] for i in range(60))
