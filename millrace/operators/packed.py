@@ -51,6 +51,7 @@ class Segmentation:
 
 # Where EM starts: the probability that a delimiter of a kind separates two names.
 START = {"comma_and": 0.95, "comma": 0.9, "slash": 0.9, "tight_slash": 0.05, "and": 0.2, "amp": 0.1}
+SALTS = 32
 KINDS = {k: i for i, k in enumerate(START, 1)}
 
 
@@ -226,17 +227,24 @@ def _number(key):
     return F.xxhash64(key).bitwiseAND(F.lit(-8)).bitwiseOR(F.substring(key, 1, 1).cast("bigint"))
 
 
-def _known(soft: DataFrame, model: DataFrame | None, hot: DataFrame) -> DataFrame:
-    """Segments (``seg, text, weight, keys``) with what the model knows about their keys, in the order of the keys."""
+def _known(soft: DataFrame, model: DataFrame | None, hot: list[int]) -> DataFrame:
+    """Segments (``seg, text, weight, keys``) with what the model knows about their keys, in the order of the keys.
+
+    ``hot`` keys (fewer than ``skew.HOT_KEYS``) are spread over ``SALTS`` tasks.
+    """
     if model is None:
         return soft.withColumn("known", F.lit(None).cast("array<double>"))
     flat = soft.select("seg", F.posexplode("keys").alias("at", "key"))
-    got = salted_join(flat, model, ["key"], "left", hot=hot)
-    got = got.groupBy("seg").agg(F.array_sort(F.collect_list(F.struct("at", "p"))).alias("k"))
+    on = ["key"]
+    if hot:
+        on, is_hot = ["key", "salt"], F.col("key").isin(hot)
+        flat = flat.withColumn("salt", F.when(is_hot, F.pmod("seg", F.lit(SALTS)).cast("int")).otherwise(0))
+        model = model.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    got = flat.join(model, on, "left").groupBy("seg").agg(F.array_sort(F.collect_list(F.struct("at", "p"))).alias("k"))
     return soft.join(got, "seg").select("seg", "text", "weight", "keys", F.col("k.p").alias("known"))
 
 
-def learn(soft: DataFrame, names: DataFrame, hot: DataFrame, s: Segmentation, parts: int) -> tuple[DataFrame | None, dict[str, float], float]:
+def learn(soft: DataFrame, names: DataFrame, hot: list[int], s: Segmentation, parts: int) -> tuple[DataFrame | None, dict[str, float], float]:
     """Expectation-maximisation over all segments: value frequencies and what each delimiter does.
 
     The model is a table ``key, p``: discounted expected counts of values, and for a delimiter with
@@ -318,7 +326,7 @@ def split_packed(df: DataFrame, key: str, text: str, settings: Segmentation = Se
     most = names.where(F.col("text").rlike("[,/&]|(?i)and")).agg(F.max(size("text"))).first()[0] or 0
     parts = max(settings.parts, most)
     soft = cut(weights.where("kind = 'soft'").select("seg", "text", "weight", _keys(F.col("text"), parts).alias("keys")))
-    hot = cut(hot_keys(soft.select(F.explode("keys").alias("key")), ["key"]))
+    hot = [r.key for r in hot_keys(soft.select(F.explode("keys").alias("key")), ["key"]).collect()]  # fewer than HOT_KEYS
     model, start, total = learn(soft, names, hot, settings, parts)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
