@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,18 +18,16 @@ class Fences:
 
     frozen: this many equal consecutive readings or more are a frozen run. fence: width of the fences
     in interquartile ranges, less what mere counting of so few makes up of them; counted: width of the
-    fences for that part, in square roots of the expected reading. rise, drop: a reading also has to be this many times its neighbours, or
-    this share of them, to count. habit: from this share of raised readings on, raised days are a
-    habit of the source, and what lies within the fence of its raised readings is normal. raised: what
-    counts as raised. around: readings looked at on either side. accuracy: of the quantile sketches.
+    fences for that part, in square roots of the expected reading. raised: a reading this many times its
+    neighbours, and beyond the fence of the source's calm days, is a raised one. habit: from this share of raised readings on, raised days are a
+    habit of the source, and what lies within the fence of its raised readings is normal.
+    around: readings looked at on either side. accuracy: of the quantile sketches.
     """
 
     frozen: int = 5
     fence: float = 4.0
     counted: float = 4.5
-    rise: float = 1.5
-    drop: float = 0.6
-    habit: float = 0.045
+    habit: float = 0.07
     raised: float = 1.3
     around: int = 12
     least_around: int = 3
@@ -94,8 +93,10 @@ def flag_readings(
     the shuffle) give the source's level on such days. Readings are divided by it, which makes working
     days and holidays comparable, and compared with the median of their neighbours on either side;
     the smaller of the two changes counts. So a lasting change of level, which agrees with one of its
-    sides, is none. A second set of sketches of these changes gives the fences. Sources with
-    a habit of busy days get a third sketch, of their raised readings, and its fence.
+    sides, is none. A second set of sketches of these changes, per source and kind of day and per source, gives the
+    interquartile fences (the wider of the two counts, so a kind of day with few readings is not held to a
+    range that came out small by chance). Sources with a habit of busy days get a third sketch, of their raised
+    readings, and its fence. Levels below 1 count as 1, so a source that is mostly idle has fences too.
 
     Neighbours are found in blocks of consecutive readings with a margin; no source is held by one
     task. Sources with fewer readings than ``least_around`` on both sides can only be impossible or frozen.
@@ -114,7 +115,7 @@ def flag_readings(
     level = parts.where(F.col("own") & usable).groupBy("source", "context").agg(
         F.percentile_approx("value", 0.5, F.lit(s.accuracy)).alias("level")
     )
-    z = F.when(usable & (F.col("level") > 0), F.log(F.greatest(F.col("value"), F.lit(1.0)) / F.col("level")))
+    z = F.when(usable, F.log(F.greatest(F.col("value"), F.lit(1.0)) / F.greatest(F.col("level"), F.lit(1.0))))
     parts = parts.join(level, ["source", "context"], "left").withColumn("z", z)
     past = F.collect_list("z").over(w.rowsBetween(-s.around, -1))
     coming = F.collect_list("z").over(w.rowsBetween(1, s.around))
@@ -125,25 +126,23 @@ def flag_readings(
     seen = cut(
         seen.select("source", "day", "value", "context", "level", "frozen", ((up + down) / 2).alias("both"), change.alias("change"))
     )
-    usual = seen.groupBy("source", "context").agg(
-        F.percentile_approx("both", F.array(F.lit(0.25), F.lit(0.75)), F.lit(s.accuracy)).alias("q"), F.count("both").alias("n")
-    )
-    raised = F.col("change") > F.log(F.lit(s.raised))
+    quartiles = lambda c: F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), F.lit(s.accuracy))
+    usual = seen.groupBy("source", "context").agg(quartiles("both").alias("q"))
+    calm = seen.groupBy("source").agg(quartiles(F.when(F.col("change") <= math.log(s.raised), F.col("both"))).alias("calm"))
+    ranged = seen.join(calm.select("source", (F.col("calm")[1] - F.col("calm")[0]).alias("calm")), "source", "left")
+    raised = F.col("change") > F.greatest(F.lit(math.log(s.raised)), s.fence * F.col("calm"))
     habits = (
-        seen.groupBy("source")
-        .agg(
-            F.percentile_approx(F.when(raised, F.col("change")), F.array(F.lit(0.25), F.lit(0.75)), F.lit(s.accuracy)).alias("busy"),
-            F.try_divide(F.count_if(raised), F.count("change")).alias("share"),
-        )
+        ranged.groupBy("source")
+        .agg(quartiles(F.when(raised, F.col("change"))).alias("busy"), F.try_divide(F.count_if(raised), F.count("change")).alias("share"))
         .where(F.col("share") >= s.habit)
         .select("source", (F.col("busy")[1] + 1.5 * (F.col("busy")[1] - F.col("busy")[0])).alias("busy_to"))
     )
-    spread = F.col("q")[1] - F.col("q")[0]
+    spread = F.greatest(F.col("q")[1] - F.col("q")[0], F.col("calm"))
     root = F.sqrt(F.greatest(F.greatest("value", F.lit(1.0)) / F.exp("change"), F.lit(1.0)))
     beyond = F.lit(s.fence) * F.sqrt(F.greatest(spread * spread - (1.35 / root) * (1.35 / root), F.lit(0.0)))
     both = lambda x: F.sqrt(beyond * beyond + x * x)
-    high = F.greatest(both(F.log(1 + s.counted / root)), F.log(F.lit(s.rise)), F.coalesce("busy_to", F.lit(0.0)))
-    low = F.greatest(both(F.log(F.greatest(1 - s.counted / root, F.lit(0.02)))), -F.log(F.lit(s.drop)))
+    high = F.greatest(both(F.log(1 + s.counted / root)), F.coalesce("busy_to", F.lit(0.0)))
+    low = both(F.log(F.greatest(1 - s.counted / root, F.lit(0.02))))
     reasons = F.array_compact(
         F.array(
             F.when(F.col("value") < 0, "impossible"),
@@ -153,6 +152,6 @@ def flag_readings(
         )
     )
     return (
-        seen.join(usual, ["source", "context"], "left").join(habits, "source", "left")
+        ranged.join(usual, ["source", "context"], "left").join(habits, "source", "left")
         .select("source", "day", "value", "context", "level", "change", reasons.alias("reasons"))
     )
