@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.scan import carried
 from millrace.runtime import scratch
+from millrace.sources.log import CommitLog
 
 SCHEMA = "user_id bigint, start timestamp_ntz, end timestamp_ntz, first_event_id string, last_event_id string, events bigint"
 
@@ -108,39 +107,19 @@ class SessionTable:
     Files are never changed. A bucket of users is a folder of Parquet files; the manifest says which
     folder of each bucket is valid. ``apply`` forms the sessions of the new batch, bridges them with
     the stored sessions of the buckets that the batch touches, writes those buckets anew and then
-    replaces the manifest by one atomic rename: a reader, a retry or a job that dies in between sees
-    the old table or the new one. Events seen before (by id) are ignored, so a batch may be
-    applied again.
+    adds the next version of the manifest by one atomic rename: a reader, a retry or a job that dies in between sees
+    the old table or the new one, and of two writers of the same version the second fails (``Conflict``) and may
+    apply its batch again. Events seen before (by id) are ignored, so a batch may be applied again.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, gap_minutes: float = 30, buckets: int = 16):
         self.spark, self.path, self.gap, self.buckets = spark, path or scratch(spark, "sessions"), gap_minutes, buckets
-        jvm = spark.sparkContext._jvm
-        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
-        self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-        self._fs = self._path(self.path).getFileSystem(self._conf)
-        self._files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.path).toUri(), self._conf)
-        self._rename = jvm.org.apache.hadoop.fs.Options.Rename
+        self._log = CommitLog(spark, self.path)
+        self._path, self._fs = self._log.at, self._log.fs
 
     # manifest -----------------------------------------------------------------------------------
     def _manifest(self) -> dict:
-        at = self._path(f"{self.path}/manifest.json")
-        if not self._fs.exists(at):
-            return {"version": 0, "sessions": {}, "seen": []}
-        stream = self._fs.open(at)
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
-
-    def _replace(self, manifest: dict) -> None:
-        new = self._path(f"{self.path}/manifest-{uuid.uuid4().hex}.json")
-        stream = self._fs.create(new, True)
-        stream.write(bytearray(json.dumps(manifest).encode()))
-        stream.close()
-        options = self.spark.sparkContext._gateway.new_array(self._rename, 1)
-        options[0] = self._rename.valueOf("OVERWRITE")
-        self._files.rename(new, self._path(f"{self.path}/manifest.json"), options)
+        return self._log.last() or {"version": 0, "sessions": {}, "seen": []}
 
     # data ---------------------------------------------------------------------------------------
     def _bucket(self) -> Column:
@@ -178,11 +157,12 @@ class SessionTable:
             out = f"{self.path}/data/v{version}"
             rows.withColumn("bucket", self._bucket()).write.mode("overwrite").partitionBy("bucket").parquet(out)
             folders |= {str(b): f"{out}/bucket={b}" for b in touched}
-        self._replace({"version": version, "sessions": folders, "seen": [*old["seen"], ids]})
+        self._log.commit(version, {"version": version, "sessions": folders, "seen": [*old["seen"], ids]})
         self._fs.delete(self._path(local), True)
 
     def vacuum(self) -> None:
         """Delete the folders that the manifest no longer names. Only call it when nobody reads an older version."""
+        self._log.forget()
         valid = set(self._manifest()["sessions"].values())
         data = self._path(f"{self.path}/data")
         if not self._fs.exists(data):
@@ -196,15 +176,17 @@ class SessionTable:
 
 def batches_by_arrival(events: DataFrame, received: str, count: int) -> Sequence[DataFrame]:
     """Split a table into ``count`` batches of about equal span of arrival time; rows without one are in the first."""
-    span = events.agg(F.min(_micros(received)).alias("a"), F.max(_micros(received)).alias("b")).first()
+    span = events.agg(F.min(received).alias("a"), F.max(received).alias("b")).first()
     if span.a is None:
         return [events]
-    at = F.coalesce(_micros(received), F.lit(span.a))
-    edges = [span.a + (span.b - span.a) * i // count for i in range(count)]
-    return [
-        events.where(((at >= edges[i]) if i else F.lit(True)) & ((at < edges[i + 1]) if i + 1 < count else F.lit(True)))
-        for i in range(count)
-    ]
+    at, kind = F.col(received), dict(events.dtypes)[received]
+    edges = [F.lit(span.a + (span.b - span.a) * i / count).cast(kind) for i in range(count)]
+    out = []
+    for i in range(count):
+        late = at >= edges[i]
+        before = at < edges[i + 1] if i + 1 < count else F.lit(True)
+        out.append(events.where(at.isNull() | before if i == 0 else late & before))
+    return out
 
 
 def incremental_sessions(

@@ -21,6 +21,7 @@ def session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "mil
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -55,8 +56,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path for a table in the shared folder."""
-    return f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh folder for a table in the shared folder; it is deleted when the application ends."""
+    path = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex[:12]}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
 
 
 def ship(spark: SparkSession) -> None:

@@ -1,12 +1,11 @@
 """Versioned tables on plain files, and writers.
 
 A table is a folder with one folder per version and a manifest that names the current one. Files are
-never changed; a new version becomes visible when the manifest is replaced by one rename.
+never changed; a new version becomes visible when its manifest is renamed to its number, which only one writer can do.
 """
 
 from __future__ import annotations
 
-import json
 import time
 import uuid
 from collections.abc import Sequence
@@ -15,39 +14,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.upsert import latest_per_key, merge
+from millrace.runtime import cut
+from millrace.sources.log import CommitLog
+
+BUCKET = "_bucket"
 
 
 class VersionedTable:
     """Append, overwrite and upsert with history and reads of older versions."""
 
-    def __init__(self, spark: SparkSession, path: str, partition_by: Sequence[str] = ()):
-        self.spark, self.path, self.partition_by = spark, path.rstrip("/"), list(partition_by)
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        self._p = lambda x: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{x}")
-        self._fs = jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(conf)
-        self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(jvm.org.apache.hadoop.fs.Path(self.path).toUri(), conf)
-        self._rename = jvm.org.apache.hadoop.fs.Options.Rename
+    def __init__(self, spark: SparkSession, path: str, partition_by: Sequence[str] = (), buckets: int = 0):
+        """``buckets``: lay the rows out by a hash of the keys of ``upsert``, which then rewrites only the buckets it touches."""
+        if partition_by and buckets:
+            raise ValueError("a table has either partitions or buckets")
+        self.spark, self.path, self.partition_by, self.buckets = spark, path.rstrip("/"), list(partition_by), buckets
+        self._log = CommitLog(spark, self.path)
+        self._fs = self._log.fs
+        self._p = lambda x: self._log.at(f"{self.path}/{x}")
 
-    # manifest
     def history(self) -> list[dict]:
         """Versions from the first to the current: ``version, operation, at, parts``."""
-        if not self._fs.exists(self._p("manifest.json")):
-            return []
-        stream = self._fs.open(self._p("manifest.json"))
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
-
-    def _commit(self, log: list[dict]) -> None:
-        new = self._p(f"manifest-{uuid.uuid4().hex}.json")
-        stream = self._fs.create(new, True)
-        stream.write(bytearray(json.dumps(log).encode()))
-        stream.close()
-        options = self.spark.sparkContext._gateway.new_array(self._rename, 1)
-        options[0] = self._rename.valueOf("OVERWRITE")
-        self._context.rename(new, self._p("manifest.json"), options)
+        return self._log.last() or []
 
     @property
     def version(self) -> int:
@@ -67,20 +54,27 @@ class VersionedTable:
             log = [x for x in log if x["at"] <= as_of]
         if not log:
             raise ValueError(f"{self.path} has no such version")
+        return self._rows(log[-1]["parts"])
+
+    def _rows(self, parts: Sequence[str]) -> DataFrame:
+        if self.buckets:
+            return self.spark.read.option("mergeSchema", "true").parquet(*[f"{self.path}/{p}" for p in parts])
         out = None
-        for part in log[-1]["parts"]:
+        for part in parts:
             one = self.spark.read.parquet(f"{self.path}/{part}")
             out = one if out is None else out.unionByName(one, allowMissingColumns=True)
         return out
 
     # writing
-    def _write(self, df: DataFrame, operation: str, keep: Sequence[str]) -> int:
-        log = self.history()
+    def _write(self, df: DataFrame, operation: str, keep: Sequence[str], parts: Sequence[str] | None = None, log: list | None = None) -> int:
+        log = self.history() if log is None else log
         version = (log[-1]["version"] if log else 0) + 1
         part = f"v{version}-{uuid.uuid4().hex[:8]}"
+        by = [BUCKET] if parts is not None else self.partition_by
         writer = df.write.mode("errorifexists")
-        (writer.partitionBy(*self.partition_by) if self.partition_by else writer).parquet(f"{self.path}/{part}")
-        self._commit([*log, {"version": version, "operation": operation, "at": time.time(), "parts": [*keep, part]}])
+        (writer.partitionBy(*by) if by else writer).parquet(f"{self.path}/{part}")
+        new = [part] if parts is None else [f"{part}/{x}" for x in parts if self._fs.exists(self._p(f"{part}/{x}"))]
+        self._log.commit(version, [*log, {"version": version, "operation": operation, "at": time.time(), "parts": [*keep, *new]}])
         return version
 
     def overwrite(self, df: DataFrame) -> int:
@@ -99,12 +93,27 @@ class VersionedTable:
         late deliveries of older versions change nothing and a batch may be applied twice.
         """
         source = latest_per_key(df, keys, order) if order else df
-        if not self.exists():
-            return self._write(source, "upsert", [])
-        target = self.read()
+        log = self.history()
+        if self.buckets:
+            return self._upsert_buckets(source, keys, order, log)
+        if not log:
+            return self._write(source, "upsert", [], log=log)
+        return self._write(self._merged(self.read(), source, keys, order), "upsert", [], log=log)
+
+    def _merged(self, target: DataFrame, source: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
         if order:
-            return self._write(latest_per_key(target.unionByName(source, allowMissingColumns=True), keys, order), "upsert", [])
-        return self._write(merge(target, source, keys), "upsert", [])
+            return latest_per_key(target.unionByName(source, allowMissingColumns=True), keys, order)
+        return merge(target, source, keys)
+
+    def _upsert_buckets(self, source: DataFrame, keys: Sequence[str], order: Sequence[str], log: list) -> int:
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
+        source = cut(source)
+        touched = {f"{BUCKET}={r[0]}" for r in source.select(bucket.alias("b")).distinct().collect()}  # at most ``buckets``
+        parts = log[-1]["parts"] if log else []
+        old = [p for p in parts if p.split("/")[-1] in touched]
+        rows = self._merged(self._rows(old), source, keys, order) if old else source
+        keep = [p for p in parts if p.split("/")[-1] not in touched]
+        return self._write(rows.withColumn(BUCKET, bucket), "upsert", keep, sorted(touched), log)
 
     def restore(self, version: int) -> int:
         return self._write(self.read(version), "restore", [])
@@ -114,7 +123,8 @@ class VersionedTable:
         log = self.history()
         kept = log[-keep:]
         used = {p for x in kept for p in x["parts"]}
-        self._commit(kept)
+        self._log.commit(kept[-1]["version"] + 1, [*kept[:-1], {**kept[-1], "version": kept[-1]["version"] + 1, "operation": "vacuum"}])
+        self._log.forget()
         for p in {p for x in log for p in x["parts"]} - used:
             self._fs.delete(self._p(p), True)
 

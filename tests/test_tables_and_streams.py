@@ -214,3 +214,35 @@ def test_stream_into_session_table(spark, tmp_path):
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "ev"))
         pipeline.session_sink(stream, table, "user_id", "event_id", "at", "got", str(tmp_path / "cp")).awaitTermination()
     assert rows(table.read(), "user_id", "first_event_id", "last_event_id", "events") == [(1, "a", "b", 3), (1, "z", "z", 1), (2, "c", "c", 1)]
+
+
+def test_a_version_is_written_once(spark, tmp_path):
+    from millrace.sources.log import CommitLog, Conflict
+
+    a, b = CommitLog(spark, str(tmp_path / "t")), CommitLog(spark, str(tmp_path / "t"))
+    assert a.last() is None
+    a.commit(1, {"x": 1})
+    with pytest.raises(Conflict):
+        b.commit(1, {"x": 2})
+    b.commit(2, {"x": 3})
+    assert a.last() == {"x": 3}
+    a.forget()
+    assert a.last() == {"x": 3}
+
+
+def test_upsert_by_buckets_equals_upsert_of_the_whole(spark, tmp_path):
+    make = lambda data: spark.createDataFrame(data, "k string, v int, at int")
+    batches = [
+        make([(f"k{i}", i, 1) for i in range(40)]),
+        make([("k1", 100, 2), ("k50", 5, 2), ("k2", 7, 0)]).withColumn("more", F.lit("m")),
+        make([("k1", 100, 2), (None, 3, 1)]),
+    ]
+    whole, parted = tables.VersionedTable(spark, str(tmp_path / "a")), tables.VersionedTable(spark, str(tmp_path / "b"), buckets=8)
+    for b in batches:
+        whole.upsert(b, ["k"], ["at"])
+        parted.upsert(b, ["k"], ["at"])
+    assert rows(parted.read(), "k", "v", "at", "more") == rows(whole.read(), "k", "v", "at", "more")
+    log = parted.history()
+    assert len(set(log[0]["parts"]) & set(log[1]["parts"])) >= 5
+    parted.vacuum()
+    assert rows(parted.read(), "k", "v") == rows(whole.read(), "k", "v")
