@@ -65,3 +65,12 @@ def us_federal_holiday(c: Column) -> Column:
     for m in moving:
         out = out | (d == m)
     return out
+
+
+# Holidays of states beside the federal ones, as month and day.
+STATE_HOLIDAYS = {"IL": ("02-12",)}
+
+
+def state_holiday(c: Column, state: str) -> Column:
+    """Whether a date is a fixed holiday of the state that is no federal one."""
+    return F.date_format(c.cast("date"), "MM-dd").isin(*STATE_HOLIDAYS[state])

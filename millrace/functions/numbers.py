@@ -95,3 +95,22 @@ def weather_score(temperature: Column, wind: Column, rain: Column) -> Column:
         + F.when(temperature < -10, 25).when(temperature < 0, 10).otherwise(0)
         + F.when(wind > 50, 20).when(wind > 30, 8).otherwise(0),
     )
+
+
+def half_up(c: Column, digits: int = 0) -> Column:
+    """c rounded half up (towards plus infinity) on its double value."""
+    scale = 10.0**digits
+    return F.floor(c * scale + 0.5) / scale
+
+
+def merged_maps(*maps: Column) -> Column:
+    """One map of all entries; later maps win, but NULL and blank values overwrite nothing."""
+    out = None
+    for m in maps:
+        known = F.map_filter(m, lambda k, v: v.isNotNull() & (F.trim(v.cast("string")) != ""))
+        if out is None:
+            out = known
+        else:
+            kept = F.map_filter(out, lambda k, v: ~F.map_contains_key(known, k))  # noqa: B023
+            out = F.map_concat(kept, known)
+    return out

@@ -80,7 +80,7 @@ def first_int(c: Column) -> Column:
 
 def metadata_line(c: Column, name: str) -> Column:
     """Value of a ``Name: value`` line of a document; NULL if absent or blank."""
-    found = F.trim(F.regexp_extract(c, rf"(?mi)^\s*\**{name}\**\s*:\s*(.*)$", 1))
+    found = F.trim(F.regexp_extract(c, rf"(?mi)^[ \t]*\**{name}\**[ \t]*:[ \t]*(.*)$", 1))
     return F.when(found != "", found)
 
 
@@ -91,3 +91,43 @@ def link_host(c: Column) -> Column:
 def relaxed_json(c: Column, schema: str) -> Column:
     """JSON written with single quotes."""
     return F.from_json(c, schema, {"allowSingleQuotes": "true"})
+
+
+def lemmas(c: Column, table: dict[str, str]) -> Column:
+    """Words separated by spaces, each replaced by its base form if the table has one."""
+    forms = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    return F.array_join(F.transform(F.split(c, " "), lambda w: F.coalesce(F.try_element_at(forms, w), w)), " ")
+
+
+def duration(c: Column) -> tuple[Column, Column]:
+    """Amount and unit (minute, day, week, month) of the first duration in a text; NULL without one."""
+    pattern = r"([0-9]+) (minute|day|week|month)s?\b"
+    unit = F.regexp_extract(c, pattern, 2)
+    return F.regexp_extract(c, pattern, 1).try_cast("int"), F.when(unit != "", unit)
+
+
+def term_score(c: Column, weights: dict[str, float]) -> Column:
+    """Sum of the weights of the terms that a text contains; case is ignored."""
+    low = F.lower(c)
+    return sum((F.when(F.contains(low, F.lit(t.lower())), F.lit(w)).otherwise(0) for t, w in weights.items()), F.lit(0))
+
+
+def without_metadata(c: Column, names: list[str]) -> Column:
+    """A text without lines that begin with one of the names, and without rules of dashes and the like."""
+    lines = F.regexp_replace(c, rf"(?m)^({'|'.join(names)})\b.*$", "")
+    return F.trim(F.regexp_replace(lines, r"(?m)^[-=*_]{3,}\s*$", ""))
+
+
+def link_label(c: Column) -> Column:
+    """A readable label from the last part of an address; empty if it has no path."""
+    last = F.regexp_extract(c, r"^https?://[^/?#]*(?:/[^?#]*)?/([^/?#]+)", 1)
+    return F.trim(F.regexp_replace(F.regexp_replace(last, r"\.[a-z]+$", ""), "[-_]+", " "))
+
+
+def one_of(c: Column, patterns: dict[str, str]) -> Column:
+    """The first value whose pattern is found in free text (case ignored); NULL if none is."""
+    out = None
+    for value, pattern in patterns.items():
+        hit = F.coalesce(c, F.lit("")).rlike(f"(?i){pattern}")
+        out = F.when(hit, value) if out is None else out.when(hit, value)
+    return out

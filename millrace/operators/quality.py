@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.text import json_object
+from millrace.operators.stats import percentiles
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -134,3 +137,38 @@ def judge(conditions: Sequence[Mapping]) -> Column:
         parts["failed"].append(F.when(~told, name))
         parts["missing"].append(F.when(told.isNull(), name))
     return F.struct(*[F.array_compact(F.array(*v)).alias(k) for k, v in parts.items()])
+
+
+def json_schema(c: str, types: Mapping[str, str], required: Sequence[str] = (), additional: bool = True) -> list[Rule]:
+    """Rules of a schema of JSON objects in a text column: fields that must be there, castable types, no other fields."""
+    field = lambda f: F.get_json_object(F.col(c), f"$.{f}")
+    rules = [Rule(f"{f}: missing", field(f).isNotNull()) for f in required]
+    rules += [Rule(f"{f}: not {t}", field(f).isNull() | field(f).try_cast(t).isNotNull()) for f, t in types.items()]
+    return rules if additional else [*rules, only_keys(c, list(types))]
+
+
+def checked_object(said: Column, schema: str, rules: Sequence[tuple[str, Callable[[Column], Column]]]) -> Column:
+    """The object in a model's answer as ``struct(success, error, data)``; it never raises."""
+    found = json_object(said)
+    data = F.from_json(found, schema)
+    broken = F.array_compact(F.array(*[F.when(~F.coalesce(test(data), F.lit(False)), F.lit(name)) for name, test in rules]))
+    error = F.when(found.isNull(), F.lit("no object")).when(F.size(broken) > 0, F.concat_ws("; ", broken))
+    return F.struct(error.isNull().alias("success"), error.alias("error"), F.when(error.isNull(), data).alias("data"))
+
+
+def feature_values(df: DataFrame, column: str, features: Sequence[str]) -> DataFrame:
+    """The features of a struct as rows ``feature, value``; what is no number is skipped."""
+    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"{column}.{f}").try_cast("double").alias("value")) for f in features])
+    return df.select(F.explode(pairs).alias("x")).select("x.*").where("value IS NOT NULL")
+
+
+def measurement_flags(df: DataFrame, keys: Sequence[str], day: str, value: str, fence: float = 3.0) -> DataFrame:
+    """Rows that are ``negative``, an ``outlier`` of their series' quartile fences or ``ambiguous`` (several values for a day)."""
+    q = percentiles(df, keys, value, [0.25, 0.75])
+    n = df.groupBy(*keys, day).agg(F.count(F.lit(1)).alias("_n"))
+    a, b = F.col("percentiles")[0], F.col("percentiles")[1]
+    x = F.col(value)
+    out = df.join(q, list(keys)).join(n, [*keys, day]).withColumns(
+        {"negative": x < 0, "outlier": (x < a - fence * (b - a)) | (x > b + fence * (b - a)), "ambiguous": F.col("_n") > 1}
+    )
+    return out.where("negative OR outlier OR ambiguous").drop("percentiles", "_n")

@@ -126,3 +126,15 @@ def near_copies(df: DataFrame, key: str, normalized: Column) -> DataFrame:
     rows = df.select(F.col(key).alias("_k"), F.xxhash64(normalized).alias("_h"), normalized.alias("_t")).where("_t IS NOT NULL")
     groups = rows.groupBy("_h", "_t").agg(F.min("_k").alias("first_key"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     return rows.join(groups, ["_h", "_t"]).select(F.col("_k").alias(key), "first_key", "copies")
+
+
+def share_of_columns(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
+    """In how many percent of the rows each condition holds: ``column, pct``, in one pass."""
+    one = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(c).alias(f"c{i}") for i, c in enumerate(conditions.values())])
+    pairs = F.array(*[F.struct(F.lit(n).alias("column"), (100.0 * ratio(F.col(f"c{i}"), F.col("_n"))).alias("pct")) for i, n in enumerate(conditions)])
+    return one.select(F.explode(pairs).alias("x")).select("x.*")
+
+
+def in_given_order(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
+    """Rows ordered by the place of their value in a list; values that are not listed come last."""
+    return df.orderBy(F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(v) for v in values]), F.col(column)), F.lit(0)), F.lit(len(values) + 1)))

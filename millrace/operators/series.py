@@ -136,3 +136,43 @@ def last_rows_mean(df: DataFrame, keys: Sequence[str], order: str, columns: Sequ
     w = Window.partitionBy(*keys).orderBy(F.desc(order))
     last = df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= rows)
     return last.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in columns])
+
+
+def forecast_with_actuals(forecast: DataFrame, actual: DataFrame, keys: Sequence[str], day: str, expected: str, value: str, rows: int = 14, least: int = 7) -> DataFrame:
+    """Every forecast with its actual value: adds ``is_actual`` and ``spread``, the rolling deviation of the residuals.
+
+    Where fewer than ``least`` residuals are known, the spread is the mean of the series' rolling deviations.
+    """
+    both = forecast.join(actual, [*keys, day], "left").withColumn("is_actual", F.col(value).isNotNull())
+    both = both.withColumn("_r", F.col(value) - F.col(expected))
+    _, own = rolling(both, keys, day, "_r", rows, least)
+    both = both.withColumn("_own", own)
+    usual = both.groupBy(*keys).agg(F.avg("_own").alias("_usual"))
+    return both.join(usual, list(keys)).withColumn("spread", F.coalesce("_own", "_usual")).drop("_own", "_usual", "_r")
+
+
+def with_hourly(rows: DataFrame, day: str, hourly: DataFrame, hour_day: str, hour: str, at: int, point: dict[str, str], sums: dict[str, str]) -> DataFrame:
+    """Rows of days with the values of one hour and with the sums of all hours of their day; NULL where there are none."""
+    one = hourly.where(F.col(hour) == at).select(F.col(hour_day).alias(day), *[F.col(c).alias(n) for c, n in point.items()])
+    whole = hourly.groupBy(F.col(hour_day).alias(day)).agg(*[F.sum(c).alias(n) for c, n in sums.items()])
+    return rows.join(one, day, "left").join(whole, day, "left")
+
+
+def filled(df: DataFrame, keys: Sequence[str], order: str, value: str, block: str = "MM") -> DataFrame:
+    """NULL values replaced by the last one before them, else by the next one after them.
+
+    Windows run within months; what a month inherits comes from a table with one row per key and month.
+    """
+    rows = df.withColumn("_block", F.trunc(order, block))
+    inside = Window.partitionBy(*keys, "_block").orderBy(order)
+    per = rows.where(F.col(value).isNotNull()).groupBy(*keys, "_block").agg(F.max_by(value, order).alias("_last"), F.min_by(value, order).alias("_first"))
+    months = rows.select(*keys, "_block").distinct().join(per, [*keys, "_block"], "left")
+    w = Window.partitionBy(*keys).orderBy("_block")
+    months = months.select(
+        *keys, "_block", F.last("_last", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.first("_first", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+    )
+    back = F.last(value, True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    ahead = F.first(value, True).over(inside.rowsBetween(0, Window.unboundedFollowing))
+    found = rows.withColumn("_back", back).withColumn("_ahead", ahead).join(months, [*keys, "_block"])
+    return found.withColumn(value, F.coalesce("_back", "_before", "_ahead", "_after")).drop("_block", "_back", "_ahead", "_before", "_after")

@@ -272,3 +272,89 @@ def drift_report(baseline: DataFrame, current: DataFrame, columns: Sequence[str]
         if sizes[f"c{i}"] >= least:
             out = out.unionByName(psi(baseline, current, c).withColumn("column", F.lit(c)).withColumn("alert", F.col("status") == "SIGNIFICANT"))
     return out
+
+
+def percentiles(df: DataFrame, by: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """Exact percentiles with linear interpolation per group: ``by, percentiles`` in the order of ``shares``.
+
+    Counts per distinct value and a running total in blocks of the value's size find the positions, so
+    no group's values are held in one buffer. NULL and NaN are left out; groups without values have no row.
+    """
+    rows = df.select(*by, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)")
+    keys = list(by) or ["_all"]
+    rows = rows if by else rows.withColumn("_all", F.lit(1))
+    block = F.signum("_v") * F.floor(F.ln(1 + F.abs("_v")) * 20)
+    counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", block)
+    before = running_total(counts, keys, "_b", ["_v"], "_c", "_before")
+    sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    at = before.join(sizes, keys)
+    holds = lambda i: (F.col("_before") <= i) & (i < F.col("_before") + F.col("_c"))
+    aggs = []
+    for k, p in enumerate(shares):
+        place = F.lit(float(p)) * (F.col("_n") - 1)
+        aggs += [F.max(F.when(holds(F.floor(place)), F.col("_v"))).alias(f"_l{k}"), F.max(F.when(holds(F.ceil(place)), F.col("_v"))).alias(f"_h{k}")]
+    found = at.groupBy(*keys).agg(F.max("_n").alias("_n"), *aggs)
+    part = lambda p: F.lit(float(p)) * (F.col("_n") - 1) - F.floor(F.lit(float(p)) * (F.col("_n") - 1))
+    values = [F.col(f"_l{k}") + (F.col(f"_h{k}") - F.col(f"_l{k}")) * part(p) for k, p in enumerate(shares)]
+    return found.select(*by, F.array(*values).alias("percentiles"))
+
+
+def average_precision(df: DataFrame, score: str, label: Column, by: Sequence[str] = ()) -> DataFrame:
+    """Mean of the precision at every positive, ties sharing one precision: ``by, average_precision``."""
+    keys = list(by) or ["_all"]
+    src = by_score(df, score, label, by)
+    src = src if by else src.withColumn("_all", F.lit(1))
+    src = src.withColumn("all", F.col("pos") + F.col("neg")).withColumn("_block", F.floor(-F.col("score") / 0.01))
+    tp = running_total(src, keys, "_block", [F.desc("score")], "pos", "tp0")
+    both = running_total(tp, keys, "_block", [F.desc("score")], "all", "n0")
+    at = ratio(F.col("tp0") + F.col("pos"), F.col("n0") + F.col("all"))
+    return both.groupBy(*keys).agg(ratio(F.sum(F.col("pos") * at), F.sum("pos")).alias("average_precision")).select(*by, "average_precision")
+
+
+def threshold_curve(df: DataFrame, score: str, label: Column, cost_fn: float, cost_fp: float, low: int = 5, high: int = 94) -> DataFrame:
+    """``threshold_costs`` with precision, recall and F1 at every threshold."""
+    costs = threshold_costs(df, score, label, cost_fn, cost_fp, low, high)
+    positives = df.agg(F.count_if(label)).scalar()
+    tp = positives - F.col("fn")
+    return costs.withColumns(
+        {"precision": ratio(tp, tp + F.col("fp")), "recall": ratio(tp, tp + F.col("fn")), "f1": ratio(2 * tp, 2 * tp + F.col("fp") + F.col("fn"))}
+    )
+
+
+def class_means(df: DataFrame, features: Sequence[str], label: Column) -> DataFrame:
+    """Mean of each feature with and without a label: ``feature, with_label, without_label, difference``."""
+    one = df.agg(*[F.avg(F.when(label, F.col(f))).alias(f"w{i}") for i, f in enumerate(features)], *[F.avg(F.when(~label, F.col(f))).alias(f"o{i}") for i, f in enumerate(features)])
+    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"w{i}").alias("with_label"), F.col(f"o{i}").alias("without_label")) for i, f in enumerate(features)])
+    return one.select(F.explode(pairs).alias("x")).select("x.*").withColumn("difference", F.col("with_label") - F.col("without_label"))
+
+
+def proportion_test(df: DataFrame, in_a: Column, in_b: Column, converted: Column, alpha: float = 0.05) -> DataFrame:
+    """One row: rates, lift, z, one-sided p-value that B is larger, and the interval of the lift."""
+    g = df.agg(F.count_if(in_a).alias("na"), F.count_if(in_b).alias("nb"), F.count_if(in_a & converted).alias("xa"), F.count_if(in_b & converted).alias("xb"))
+    a, b = ratio(F.col("xa"), F.col("na")), ratio(F.col("xb"), F.col("nb"))
+    p = ratio(F.col("xa") + F.col("xb"), F.col("na") + F.col("nb"))
+    z = F.try_divide(b - a, F.sqrt(p * (1 - p) * (1 / F.col("na") + 1 / F.col("nb"))))
+    wide = NORMAL.inv_cdf(1 - alpha / 2) * F.sqrt(a * (1 - a) / F.col("na") + b * (1 - b) / F.col("nb"))
+    return g.select(
+        a.alias("rate_a"), b.alias("rate_b"), (b - a).alias("lift"), F.try_divide(b - a, a).alias("relative"), z.alias("z"), (1 - normal_cdf(z)).alias("p_value"),
+        (b - a - wide).alias("low"), (b - a + wide).alias("high"),
+    )
+
+
+def welch_guardrail(df: DataFrame, in_a: Column, in_b: Column, value: str, critical: float = 1.96) -> DataFrame:
+    """One row: means, Welch's t and degrees of freedom, and whether B passes (no significant change, or no worse than A)."""
+    g = df.agg(*[f(F.when(c, F.col(value))).alias(f"{n}{s}") for c, s in ((in_a, "a"), (in_b, "b")) for f, n in ((F.avg, "m"), (F.var_samp, "v"), (F.count, "n"))])
+    u, w = F.col("va") / F.col("na"), F.col("vb") / F.col("nb")
+    t = F.try_divide(F.col("mb") - F.col("ma"), F.sqrt(u + w))
+    df_ = F.try_divide((u + w) * (u + w), u * u / (F.col("na") - 1) + w * w / (F.col("nb") - 1))
+    return g.select(F.col("ma").alias("mean_a"), F.col("mb").alias("mean_b"), t.alias("t"), df_.alias("df"), ((F.abs(t) < critical) | (F.col("mb") >= F.col("ma"))).alias("passes"))
+
+
+def did_fit(df: DataFrame, treated: Column, after: Column, value: str) -> DataFrame:
+    """Difference in differences with its two-sided p-value (normal) and the R2 of the saturated design."""
+    rows = df.where(F.col(value).isNotNull())
+    cells = rows.groupBy(treated.alias("t"), after.alias("a")).agg(F.count(F.lit(1)).alias("n"), F.var_samp(value).alias("v"))
+    sse = cells.agg(F.sum(F.col("v") * (F.col("n") - 1))).scalar()
+    sst = rows.agg(F.var_samp(value) * (F.count(F.lit(1)) - 1)).scalar()
+    found = difference_in_differences(df, treated, after, value)
+    return found.select("did", "se", (1 - F.try_divide(sse, sst)).alias("r2"), (2 * (1 - normal_cdf(F.abs("z")))).alias("p_value"))

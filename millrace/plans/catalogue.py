@@ -10,10 +10,10 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from millrace.plans import analytics, problems, reports
+from millrace.plans import analytics, more, problems, reports
 
-QUERIES = {**reports.QUERIES, **analytics.QUERIES, **problems.QUERIES}
-SQL = {**reports.SQL, **analytics.SQL, **problems.SQL}
+QUERIES = {**reports.QUERIES, **analytics.QUERIES, **more.QUERIES, **problems.QUERIES}
+SQL = {**reports.SQL, **analytics.SQL, **more.SQL, **problems.SQL}
 
 ROUNDED = {
     "monthly_revenue": ["growth"], "yoy_growth": ["growth"], "yoy_growth_gap_safe": ["growth"], "revenue_by_region": ["share"],
@@ -26,6 +26,7 @@ ROUNDED = {
     "recent_weather": ["temperature_2m", "windspeed_10m"], "funding_trends": ["growth"], "cohort_revenue": ["so_far"], "ab_ztest": ["rate_a", "rate_b", "lift", "z"],
     "calendar_features": ["dow_sin", "dow_cos", "month_sin", "month_cos"], "weekly_resample": ["mean_rides"], "p2_trailing_totals": ["avg_7", "avg_30"],
 }
+ROUNDED |= more.ROUNDED
 DIGITS = 7
 
 
@@ -40,4 +41,5 @@ def _rounded(fn, columns):
 for _name, _columns in ROUNDED.items():
     QUERIES[_name] = _rounded(QUERIES[_name], _columns)
     _parts = ", ".join(f'round("{c}", {DIGITS}) + 0.0::DOUBLE AS "{c}"' for c in _columns)
-    SQL[_name] = f"SELECT * REPLACE ({_parts}) FROM ({SQL[_name]}) AS rounded"
+    if _name in SQL:
+        SQL[_name] = f"SELECT * REPLACE ({_parts}) FROM ({SQL[_name]}) AS rounded"
