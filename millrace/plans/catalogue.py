@@ -10,10 +10,10 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from millrace.plans import analytics, more, problems, reports
+from millrace.plans import analytics, more, pipelines, problems, reports
 
-QUERIES = {**reports.QUERIES, **analytics.QUERIES, **more.QUERIES, **problems.QUERIES}
-SQL = {**reports.SQL, **analytics.SQL, **more.SQL, **problems.SQL}
+QUERIES = {**reports.QUERIES, **analytics.QUERIES, **more.QUERIES, **pipelines.QUERIES, **problems.QUERIES}
+SQL = {**reports.SQL, **analytics.SQL, **more.SQL, **pipelines.SQL, **problems.SQL}
 
 ROUNDED = {
     "monthly_revenue": ["growth"], "yoy_growth": ["growth"], "yoy_growth_gap_safe": ["growth"], "revenue_by_region": ["share"],
@@ -26,7 +26,7 @@ ROUNDED = {
     "recent_weather": ["temperature_2m", "windspeed_10m"], "funding_trends": ["growth"], "cohort_revenue": ["so_far"], "ab_ztest": ["rate_a", "rate_b", "lift", "z"],
     "calendar_features": ["dow_sin", "dow_cos", "month_sin", "month_cos"], "weekly_resample": ["mean_rides"], "p2_trailing_totals": ["avg_7", "avg_30"],
 }
-ROUNDED |= more.ROUNDED
+ROUNDED |= more.ROUNDED | pipelines.ROUNDED
 DIGITS = 7
 
 

@@ -10,7 +10,7 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThanOrEqual, InputPartition, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThanOrEqual, In, InputPartition, LessThanOrEqual
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -45,6 +45,46 @@ def first_available(spark: SparkSession, choices: Sequence[tuple[str, Callable[[
     raise FileNotFoundError(", ".join(p for p, _ in choices))
 
 
+def first_working(choices: Sequence[Callable[[], DataFrame]]) -> DataFrame:
+    """The first reader whose first row can be fetched, whatever the others fail with; the last error is raised."""
+    for i, read in enumerate(choices):
+        try:
+            df = read()
+            df.limit(1).collect()
+            return df
+        except Exception:  # noqa: BLE001
+            if i == len(choices) - 1:
+                raise
+    raise ValueError("no reader")
+
+
+def catalog(spark: SparkSession, name: str, columns: Sequence[str] = (), since: tuple[str, str] | None = None, isin: tuple[str, Sequence] | None = None) -> DataFrame:
+    """A table of the catalog with projection, lower bound of a day and list of keys pushed to its scan."""
+    df = spark.table(name)
+    if since is not None:
+        df = df.where(F.col(since[0]) >= F.lit(since[1]).cast(dict(df.dtypes)[since[0]]))
+    if isin is not None:
+        df = df.where(F.col(isin[0]).isin(list(isin[1])))
+    return df.select(*columns) if columns else df
+
+
+def remote_distinct(spark: SparkSession, path: str, column: str, kind: str = "string") -> DataFrame:
+    """Distinct values of a column of a paged service: each page returns its own, which are then merged."""
+    pages = spark.read.format("paged").option("path", path).option("schema", f"{column} {kind}").option("group", column).load()
+    return pages.distinct()
+
+
+def rules(spark: SparkSession, path: str) -> list[dict]:
+    """Rules kept as data: a JSON file with a list of objects, read on the driver."""
+    return json.loads(spark.read.option("wholetext", "true").text(path).first()[0])
+
+
+def checked_payload(df: DataFrame, error: str, reason: str) -> DataFrame:
+    """The same rows; one that is an error answer of a service raises with its reason."""
+    bad = F.when(F.coalesce(F.col(error), F.lit(False)), F.raise_error(F.concat(F.lit("service: "), F.col(reason))).cast("boolean"))
+    return df.where(F.coalesce(bad, F.lit(True)))
+
+
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines (gzip too); blank and broken lines are skipped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
@@ -59,9 +99,9 @@ def jsonl_with_rejects(spark: SparkSession, path: str, schema: str) -> tuple[Dat
     return good, parsed.where("r IS NULL OR r._corrupt_record IS NOT NULL").select("value")
 
 
-def partitioned_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON files below ``key=value`` folders; a filter on the key reads those folders only."""
-    return spark.read.schema(schema).option("multiLine", "true").json(path)
+def partitioned_json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """JSON files (one document each, or JSON ``lines``) below ``key=value`` folders; a filter on the key reads those folders only."""
+    return spark.read.schema(schema).option("multiLine", str(not lines).lower()).json(path)
 
 
 def text_documents(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:
@@ -101,47 +141,79 @@ def with_retry(call: Callable[[], list], tries: int = 3, base: float = 2.0, slee
     return []
 
 
+class LineService:
+    """Stand-in for a paged service: a file of JSON lines that all tasks can open.
+
+    One pass finds where the wanted rows begin; a page is then read by its places, without the rest of the file.
+    """
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def places(self, where: Sequence[tuple], order: Sequence[str]) -> list[int]:
+        """Byte positions of the rows that meet all conditions, in the order of the columns."""
+        found, at = [], 0
+        with open(self.path, "rb") as lines:
+            for line in lines:
+                if line.strip():
+                    row = json.loads(line)
+                    if all(row.get(c) is not None and TESTS[op](str(row[c]), v) for c, op, v in where):
+                        found.append(([str(row.get(c)) for c in order], at))
+                at += len(line)
+        return [place for _, place in sorted(found)]
+
+    def page(self, places: Sequence[int]) -> Iterator[dict]:
+        with open(self.path, "rb") as lines:
+            for place in places:
+                lines.seek(place)
+                yield json.loads(lines.readline())
+
+
+TESTS = {"=": lambda a, b: a == b, ">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b, "in": lambda a, b: a in b}
+
+
 class _Page(InputPartition):
-    def __init__(self, offset: int, limit: int):
-        self.offset, self.limit = offset, limit
+    def __init__(self, places: list[int]):
+        self.places = places
 
 
 class _PagedReader(DataSourceReader):
-    """Pages of a service that takes WHERE, LIMIT and OFFSET; filters that it understands are pushed down."""
+    """Pages of a service that takes WHERE, LIMIT and OFFSET; filters that it understands are pushed down.
+
+    With the option ``group`` the service returns the distinct values of the columns of the schema only.
+    """
+
+    service = LineService
 
     def __init__(self, schema: T.StructType, options: dict):
         self.schema, self.options, self.where = schema, dict(options), []
 
     def pushFilters(self, filters):  # noqa: N802
         for f in filters:
-            op = {EqualTo: "=", GreaterThanOrEqual: ">=", LessThanOrEqual: "<="}.get(type(f))
+            op = {EqualTo: "=", GreaterThanOrEqual: ">=", LessThanOrEqual: "<=", In: "in"}.get(type(f))
             if op and len(f.attribute) == 1:
-                self.where.append((f.attribute[0], op, str(f.value)))
+                self.where.append((f.attribute[0], op, [str(v) for v in f.value] if op == "in" else str(f.value)))
             else:
                 yield f
 
-    def _rows(self) -> list[dict]:
-        with open(self.options["path"], encoding="utf-8") as lines:  # the service's stand-in: a file of JSON lines
-            rows = [json.loads(x) for x in lines if x.strip()]
-        tests = {"=": lambda a, b: a == b, ">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b}
-        keep = [r for r in rows if all(r.get(c) is not None and tests[op](str(r[c]), v) for c, op, v in self.where)]
-        return sorted(keep, key=lambda r: [str(r.get(c)) for c in self.schema.names])
-
     def partitions(self) -> list[_Page]:
         size = int(self.options.get("pagesize", 1000))
-        total = len(with_retry(self._rows))
-        return [_Page(o, size) for o in range(0, max(total, 1), size)]
+        found = with_retry(lambda: self.service(self.options["path"]).places(self.where, self.schema.names))
+        return [_Page(found[o : o + size]) for o in range(0, max(len(found), 1), size)]
 
     def read(self, page: _Page) -> Iterator[tuple]:
-        rows = with_retry(self._rows)[page.offset : page.offset + page.limit]
-        for r in rows:
-            yield tuple(r.get(c) for c in self.schema.names)
+        seen = set()
+        for r in with_retry(lambda: list(self.service(self.options["path"]).page(page.places))):
+            row = tuple(r.get(c) for c in self.schema.names)
+            if "group" not in self.options or row not in seen:
+                seen.add(row)
+                yield row
 
 
 class PagedSource(DataSource):
     """``spark.read.format("paged")``: one task per page of a paged service; register with ``register``.
 
-    Options: ``path``, ``pagesize``, ``schema`` (DDL). Subclasses replace ``_PagedReader._rows`` by a call.
+    Options: ``path``, ``pagesize``, ``schema`` (DDL), ``group``. Subclasses of the reader replace ``service``.
     """
 
     @classmethod

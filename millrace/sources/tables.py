@@ -18,6 +18,8 @@ from millrace.runtime import cut
 from millrace.sources.log import CommitLog
 
 BUCKET = "_bucket"
+EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+"""JSON writers drop what is below a millisecond unless told otherwise."""
 
 
 class VersionedTable:
@@ -141,14 +143,14 @@ def create_view(df: DataFrame, name: str, materialize: VersionedTable | None = N
 def write_json_by_key(df: DataFrame, path: str, keys: Sequence[str], compression: str = "gzip") -> None:
     """JSON lines below ``key=value`` folders; only the folders of the batch are replaced, so a rerun repeats itself."""
     (
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", compression)
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", compression).options(**EXACT)
         .partitionBy(*keys).json(path)
     )
 
 
 def append_log(df: DataFrame, path: str, at: str) -> None:
     """Append to a log partitioned by day; writers do not disturb each other."""
-    df.withColumn("log_date", F.col(at).cast("date")).write.mode("append").partitionBy("log_date").json(path)
+    df.withColumn("log_date", F.col(at).cast("date")).write.mode("append").options(**EXACT).partitionBy("log_date").json(path)
 
 
 def write_split(good: DataFrame, bad: DataFrame, path: str, rejects: str, keys: Sequence[str] = ()) -> None:
@@ -174,3 +176,32 @@ def export(tables: dict[str, DataFrame], path: str, format: str = "csv") -> Data
 def stamped(df: DataFrame, **values) -> DataFrame:
     """Add literal audit columns."""
     return df.withColumns({k: F.lit(v) for k, v in values.items()})
+
+
+def create_tables(spark: SparkSession, tables: dict[str, tuple[str, str]]) -> None:
+    """Create external tables ``name: (columns, path)`` where they do not exist yet, in the order given."""
+    for name, (columns, path) in tables.items():
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet LOCATION '{path}'")
+
+
+def drop_tables(spark: SparkSession, names: Sequence[str]) -> None:
+    """Drop tables, those that others refer to last: the reverse of the order of their creation."""
+    for name in reversed(list(names)):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def version_counts(table: VersionedTable) -> DataFrame:
+    """Rows of every version that can be read: ``version, operation, rows``."""
+    out = None
+    for x in table.history():
+        one = table.read(x["version"]).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(x["version"]).alias("version"), F.lit(x["operation"]).alias("operation"), "rows")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        return table.spark.createDataFrame([], "version int, operation string, rows bigint")
+    return out
+
+
+def dead_letters(path: str, keys: Sequence[str], values: Sequence[str]) -> tuple[str, str]:
+    """The folder of a partition and its twin for rejected rows."""
+    below = "/".join(f"{k}={v}" for k, v in zip(keys, values))
+    return f"{path}/{below}", f"{path}_dead/{below}"

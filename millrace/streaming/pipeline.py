@@ -103,7 +103,7 @@ def upsert_sink(
     events: DataFrame, table: VersionedTable, keys: Sequence[str], order: Sequence[str], checkpoint: str,
     rejects: str | None = None, interval: str | None = None,
 ) -> StreamingQuery:
-    """Write each micro batch by upsert, and invalid rows to a dead-letter folder.
+    """Write each micro batch by upsert, and invalid rows to a dead-letter folder, with the counts of every batch beside it.
 
     A batch that fails is tried again from the checkpoint, and the upsert makes a repetition harmless.
     Without ``interval`` everything available is processed and the query ends.
@@ -114,6 +114,7 @@ def upsert_sink(
         if rejects and "is_valid" in batch.columns:
             bad = batch.where("NOT is_valid").withColumn("validation_errors", F.concat_ws("; ", "validation_errors"))
             bad.write.mode("overwrite").json(f"{rejects}/batch={number}")
+            run_counters(batch).write.mode("overwrite").json(f"{rejects}_counts/batch={number}")
         table.upsert(good.drop("validation_errors", "is_valid"), keys, order)
 
     writer = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -145,3 +146,25 @@ def session_sink(events: DataFrame, table, user: str, event: str, at: str, recei
 
     writer = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+
+
+def drain(query: StreamingQuery, timeout: float | None = None) -> None:
+    """Let a query finish what is available and stop it; its error is raised."""
+    try:
+        query.processAllAvailable() if query.isActive else query.awaitTermination(timeout)
+    finally:
+        query.stop()
+    if query.exception() is not None:
+        raise query.exception()
+
+
+def looked_up(asked: DataFrame, key: str, facts: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Look every key up once: keys with their facts, and the memory ``key, found`` that also keeps the failures.
+
+    Keys that the memory holds already, found or not, are not asked again.
+    """
+    keys = asked.select(key).where(F.col(key).isNotNull()).distinct()
+    new = keys if known is None else keys.join(known.select(key), key, "left_anti")
+    hits = facts.join(new, key, "left_semi")
+    tried = new.join(hits.select(key).distinct().withColumn("found", F.lit(True)), key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    return hits, tried if known is None else known.select(key, "found").unionByName(tried)
