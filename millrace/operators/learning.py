@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, HashingTF, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.numbers import lookup, ratio
 from millrace.functions.text import words
 from millrace.operators import stats
+from millrace.runtime import cut
 
 
 def stratified_split(df: DataFrame, key: str, label: str, share: float = 0.8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -60,11 +62,12 @@ class Features:
         return df.withColumns(out)
 
     def fit(self, df: DataFrame) -> "Features":
-        aggs = [F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(f"n_{c}") for c in self.numeric]
-        aggs += [F.mode(c, True).alias(f"o_{c}") for c in self.ordinal]
+        for c in self.numeric:
+            middle = stats.percentiles(df, [], c, [0.5]).first()
+            self.medians[c] = middle[0][0] if middle else None
+        aggs = [F.mode(c, True).alias(f"o_{c}") for c in self.ordinal]
         if aggs:
             row = df.agg(*aggs).first()
-            self.medians = {c: row[f"n_{c}"] for c in self.numeric}
             self.modes = {c: row[f"o_{c}"] for c in self.ordinal}
         stages, parts = [], []
         if self.numeric:
@@ -150,13 +153,18 @@ def compare_models(train: DataFrame, test: DataFrame, label: str, names: Sequenc
 
 
 def search_logistic(df: DataFrame, label: str, grid: Sequence[float] = (0.001, 0.01, 0.1), folds: int = 3, seed: int = 42):
-    """Multinomial logistic regression with the penalty of the best macro F1 in cross-validation."""
-    est = LogisticRegression(featuresCol="features", labelCol=label, maxIter=40)
-    cv = CrossValidator(
-        estimator=est, estimatorParamMaps=ParamGridBuilder().addGrid(est.regParam, list(grid)).build(),
-        evaluator=MulticlassClassificationEvaluator(labelCol=label, metricName="f1"), numFolds=folds, seed=seed,
-    )
-    return cv.fit(df).bestModel
+    """Multinomial logistic regression with the penalty of the best macro F1 in cross-validation (the smaller of equals)."""
+    rows = cut(df.withColumn("_fold", F.pmod(F.xxhash64(F.col("features").cast("string"), F.lit(seed)), F.lit(folds))))
+    told = {}
+    for penalty in sorted(grid):
+        est = LogisticRegression(featuresCol="features", labelCol=label, maxIter=40, regParam=penalty)
+        scores = []
+        for fold in range(folds):
+            scored = est.fit(rows.where(F.col("_fold") != fold)).transform(rows.where(F.col("_fold") == fold))
+            scores.append(macro_f1(class_report(scored, label, "prediction")).first().macro_f1 or 0.0)
+        told[penalty] = sum(scores) / folds
+    best = max(told, key=lambda x: (told[x], -x))
+    return LogisticRegression(featuresCol="features", labelCol=label, maxIter=40, regParam=best).fit(df)
 
 
 def class_report(df: DataFrame, label: str, predicted: str) -> DataFrame:
@@ -223,3 +231,80 @@ def save(model: PipelineModel, path: str) -> None:
 
 def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+def synthetic_minority(df: DataFrame, key: str, features: Sequence[str], label: str, minority, copies: int = 1, buckets: int = 64, seed: int = 42) -> DataFrame:
+    """All rows and ``copies`` made-up rows for each of the minority class: ``key, features, label``; the key of a made-up row is NULL.
+
+    A made-up row lies at random between a row and its neighbour along a random direction. Neighbours are
+    sought within ranges of that direction, so no task holds the whole class. Rows with a NULL feature are copied as they are.
+    """
+    rng = random.Random(seed)
+    along = sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * rng.uniform(-1, 1) for c in features), F.lit(0.0))
+    few = df.where(F.col(label) == minority).select(key, label, *features).withColumn("_p", along)
+    span = few.agg(F.min("_p").alias("a"), F.max("_p").alias("b"))
+    a, b = span.select("a").scalar(), span.select("b").scalar()
+    few = few.withColumn("_range", F.floor(F.coalesce(F.try_divide(F.col("_p") - a, b - a), F.lit(0.0)) * buckets))
+    w = Window.partitionBy("_range").orderBy("_p", key)
+    near = few.withColumns({f"_n_{c}": F.coalesce(F.lead(c).over(w), F.lag(c).over(w), F.col(c)) for c in features})
+    near = near.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+    share = F.pmod(F.xxhash64(key, "_copy", F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
+    made = near.select(
+        F.lit(None).cast(dict(df.dtypes)[key]).alias(key), *[(F.col(c) + (F.col(f"_n_{c}") - F.col(c)) * share).alias(c) for c in features], label
+    )
+    return df.select(key, *[F.col(c).cast("double").alias(c) for c in features], label).unionByName(made)
+
+
+def contributions(df: DataFrame, coefficients: Sequence[float], names: Sequence[str], features: str = "features", most: int = 5) -> DataFrame:
+    """Add ``contributions``: the ``most`` features that move a linear score most, as ``feature, value, effect``."""
+    c, n = F.array(*[F.lit(float(x)) for x in coefficients]), F.array(*[F.lit(x) for x in names])
+    parts = F.transform(vector_to_array(features), lambda x, i: F.struct(F.abs(x * c[i]).alias("_size"), F.get(n, i).alias("feature"), x.alias("value"), (x * c[i]).alias("effect")))
+    top = F.slice(F.reverse(F.array_sort(parts)), 1, most)
+    return df.withColumn("contributions", F.transform(top, lambda p: F.struct(p["feature"].alias("feature"), p["value"].alias("value"), p["effect"].alias("effect"))))
+
+
+def with_own_values(df: DataFrame, found: DataFrame, most: int = 5) -> DataFrame:
+    """The ``most`` important features (``feature, importance``) of every row with the row's own value: adds ``feature, importance, value``."""
+    top = found.orderBy(F.desc("importance"), "feature").limit(most).collect()
+    pairs = F.array(*[F.struct(F.lit(r.feature).alias("feature"), F.lit(r.importance).alias("importance"), F.col(r.feature).cast("double").alias("value")) for r in top])
+    return df.withColumn("_x", F.explode(pairs)).select(*df.columns, "_x.*")
+
+
+def series_forecast(
+    df: DataFrame, key: str, day: str, value: str, until: str, horizon: int = 28, regressors: Sequence[str] = (), holiday: str | None = None, width: float = 1.96
+) -> DataFrame:
+    """One fit per series, forecast with a band: ``key, day, forecast, low, high``.
+
+    Logs of the values are explained by trend, weekday, yearly waves, ``regressors`` and a ``holiday`` flag by least squares;
+    future rows take the regressors from ``df`` (days after ``until``; values there are not used) and the mean where they are NULL.
+    A series has a row a day, so it fits a task. Series with fewer than 14 positive values have no forecast.
+    """
+    extra = [*regressors, *([holiday] if holiday else [])]
+    kind = dict(df.dtypes)[key]
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("day")
+        t = (pd.to_datetime(pdf["day"]) - pd.Timestamp(until)).dt.days.to_numpy(dtype="float64")
+        past = (t <= 0) & (pdf["value"].to_numpy(dtype="float64") > 0)
+        if past.sum() < 14 or not (t > 0).any():
+            return pdf.iloc[:0][["key", "day"]].assign(forecast=0.0, low=0.0, high=0.0)
+        x = pdf[extra].astype("float64")
+        x = x.fillna(x[past].mean()).fillna(0.0).to_numpy()
+        weekday = pd.to_datetime(pdf["day"]).dt.weekday.to_numpy()
+        waves = [f(2 * np.pi * k * t / 365.25) for k in (1, 2) for f in (np.sin, np.cos)]
+        design = np.column_stack([np.ones_like(t), t / 365.25, *[(weekday == i).astype(float) for i in range(6)], *waves, x])
+        y = np.log(pdf["value"].to_numpy(dtype="float64")[past])
+        ridge = np.sqrt(1e-3) * np.eye(design.shape[1])
+        beta = np.linalg.lstsq(np.vstack([design[past], ridge]), np.concatenate([y, np.zeros(len(ridge))]), rcond=None)[0]
+        spread = float(np.std(y - design[past] @ beta, ddof=1))
+        ahead = (t > 0) & (t <= horizon)
+        mean = design[ahead] @ beta
+        return pd.DataFrame({
+            "key": pdf["key"].to_numpy()[ahead], "day": pdf["day"].to_numpy()[ahead], "forecast": np.exp(mean),
+            "low": np.exp(mean - width * spread), "high": np.exp(mean + width * spread),
+        })
+
+    rows = df.select(F.col(key).alias("key"), F.col(day).cast("date").alias("day"), F.col(value).cast("double").alias("value"), *[F.col(c).cast("double").alias(c) for c in extra])
+    rows = rows.where("key IS NOT NULL AND day IS NOT NULL")
+    found = rows.groupBy("key").applyInPandas(fit, f"key {kind}, day date, forecast double, low double, high double")
+    return found.withColumnsRenamed({"key": key, "day": day})

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.numbers import ratio
+from millrace.operators.stats import percentiles
 
 
 def rolling(df: DataFrame, keys: Sequence[str], order: str, value: str, rows: int, least: int, shift: int = 0) -> tuple[Column, Column]:
@@ -27,10 +28,10 @@ def residual_anomalies(
     residual, or 1. Severity: above 3 critical, above 2.5 moderate, else minor.
     """
     rows = df.where(F.col(actual).isNotNull() & F.col(forecast).isNotNull()).withColumn("residual", F.col(actual) - F.col(forecast))
-    fences = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.percentile("residual", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"),
-        F.percentile(F.abs("residual"), F.lit(0.5)).alias("_mad"),
-    ).where(F.col("_n") >= window)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= window)
+    quartiles = percentiles(rows, keys, "residual", [0.25, 0.75]).withColumnRenamed("percentiles", "_q")
+    middles = percentiles(rows.withColumn("_size", F.abs("residual")), keys, "_size", [0.5]).select(*keys, F.col("percentiles")[0].alias("_mad"))
+    fences = sizes.join(quartiles, list(keys)).join(middles, list(keys))
     mean, std = rolling(rows, keys, order, "residual", window, max(7, window // 2))
     rows = rows.withColumn("_mean", mean).withColumn("_std", std).join(fences, list(keys))
     spare = F.when(F.col("_mad") > 0, F.col("_mad")).otherwise(1.0)

@@ -78,6 +78,23 @@ def local_sessions(events: DataFrame, gap_minutes: float = 30) -> DataFrame:
     )
 
 
+def with_session_start(df: DataFrame, user: str, at: str, gap_seconds: float, name: str = "session") -> DataFrame:
+    """Add when the session of each event began, in microseconds; an event ``gap_seconds`` or more after the one before begins a new one.
+
+    Users are divided into days as in ``bridge``, so no user is sorted in one task. Rows without user or time are left out.
+    """
+    gap = int(gap_seconds * 1_000_000)
+    rows = df.where(F.col(user).isNotNull() & F.col(at).isNotNull()).withColumn("_day", F.col(at).cast("date")).withColumn("_t", _micros(at))
+    inside = Window.partitionBy(user, "_day").orderBy("_t")
+    ends = carried(rows, [user], "_day", {"_end": F.max("_t")}, {"_end": "max"})
+    rows = rows.withColumn("_prev", F.lag("_t").over(inside)).join(ends, [user, "_day"])
+    before = F.coalesce("_prev", "_end")
+    rows = rows.withColumn("_opens", F.when(before.isNull() | (F.col("_t") - before >= gap), F.col("_t"))).drop("_prev", "_end")
+    opened = carried(rows, [user], "_day", {"_carried": F.max("_opens")}, {"_carried": "max"})
+    rows = rows.withColumn("_here", F.max("_opens").over(inside.rangeBetween(Window.unboundedPreceding, 0))).join(opened, [user, "_day"])
+    return rows.withColumn(name, F.coalesce("_here", "_carried")).drop("_day", "_t", "_opens", "_here", "_carried")
+
+
 def distinct_events(events: DataFrame, user: str, event: str, at: str, received: str | None = None) -> DataFrame:
     """Events as sessions of one event. Of repeats of an event id the first received counts.
 

@@ -178,7 +178,8 @@ def psi(baseline: DataFrame, current: DataFrame, column: str, bins: int = 10, ep
     outside count in the totals only. Fewer than two edges give 0.
     """
     at = [i / bins for i in range(bins + 1)]
-    edges = baseline.agg(F.array_sort(F.array_distinct(F.percentile(column, F.array(*[F.lit(x) for x in at])))).alias("e")).first()[0] or []
+    found = percentiles(baseline, [], column, at).first()
+    edges = sorted(set(found[0])) if found else []
     spark = baseline.sparkSession
     if len(edges) < 2:
         return spark.createDataFrame([(0.0, "STABLE")], "psi double, status string")

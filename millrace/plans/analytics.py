@@ -9,7 +9,7 @@ from millrace.functions import dates, ids, numbers, text, vectors
 from millrace.functions.numbers import money, ratio
 from millrace.operators import quality as Q
 from millrace.operators import reports as R
-from millrace.operators import learning, retrieval, series, stats, upsert
+from millrace.operators import learning, retrieval, series, sessions, stats, upsert
 from millrace.runtime import table
 
 QUERIES, SQL = {}, {}
@@ -145,10 +145,10 @@ S_SESSIONS = f"""SELECT user_id, min(ts) AS start, max(ts) AS "end", count(*) AS
 
 def _user_sessions(spark, folder):
     e = table(spark, folder, "events")
-    return e.groupBy("user_id", F.session_window("ts", "12 hours")).agg(
+    return sessions.with_session_start(e, "user_id", "ts", 12 * 3600).groupBy("user_id", "session").agg(
         F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("events"), F.count_distinct("event_type").alias("types"),
         *[F.bool_or(F.col("event_type") == s).alias(f"has_{s}") for s in STEPS],
-    ).drop("session_window")
+    ).drop("session")
 
 
 @query(S_SESSIONS)
@@ -281,7 +281,7 @@ S_MEASURES = "count(*) AS rounds, CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DO
 
 def _measures():
     return [
-        F.count(F.lit(1)).alias("rounds"), F.sum(money("amount")).cast("double").alias("total"), F.median("amount").alias("median_amount"),
+        F.count(F.lit(1)).alias("rounds"), F.sum(money("amount")).cast("double").alias("total"),
         F.min("amount").alias("least"), F.max("amount").alias("most"), F.count_if(F.col("amount") >= 10_000_000).alias("large"),
     ]
 
@@ -289,7 +289,9 @@ def _measures():
 @query(f"""WITH t AS (SELECT sector, year, {S_MEASURES} FROM {S_FUNDED} GROUP BY 1, 2)
   SELECT *, 100.0 * ((total - lag(total) OVER w) / nullif(lag(total) OVER w, 0)) AS growth FROM t WINDOW w AS (PARTITION BY sector ORDER BY year)""")
 def funding_trends(spark: SparkSession, folder: str) -> DataFrame:
-    return R.growth(_funded(spark, folder).groupBy("sector", "year").agg(*_measures()), "year", "total", 1, "growth", ["sector"])
+    rows = _funded(spark, folder)
+    middle = stats.percentiles(rows, ["sector", "year"], "amount", [0.5]).select("sector", "year", F.col("percentiles")[0].alias("median_amount"))
+    return R.growth(rows.groupBy("sector", "year").agg(*_measures()).join(middle, ["sector", "year"]), "year", "total", 1, "growth", ["sector"])
 
 
 @query(f"""WITH f AS (SELECT sector, stage, country, count(*) AS rounds, CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM {S_FUNDED} GROUP BY 1, 2, 3)
@@ -397,12 +399,12 @@ def event_study(spark: SparkSession, folder: str) -> DataFrame:
     return stats.mean_difference(rows, ["week"], F.col("t"), "rides", 8)
 
 
-S_CTA = "(SELECT DISTINCT route, service_date, rides, is_precipitation, temperature_2m, windspeed_10m, precipitation FROM cta_ridership_sample WHERE rides BETWEEN 0 AND 100000)"
+S_CTA = "(SELECT DISTINCT route, service_date, rides, is_precipitation, temperature_2m, windspeed_10m, precipitation FROM cta_ridership_sample WHERE rides IS NOT NULL)"
 
 
 def _cta(spark, folder):
     c = ["route", "service_date", "rides", "is_precipitation", "temperature_2m", "windspeed_10m", "precipitation"]
-    return table(spark, folder, "cta_ridership_sample").where("rides BETWEEN 0 AND 100000").select(*c).distinct()
+    return table(spark, folder, "cta_ridership_sample").where("rides IS NOT NULL").select(*c).distinct()
 
 
 @query(f"""SELECT route, avg(rides) FILTER (is_precipitation) AS with_mean, avg(rides) FILTER (NOT is_precipitation) AS without_mean,
@@ -620,7 +622,8 @@ def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.reciprocal_rank_fusion([_bm25_documents(spark, folder, 20), near], "doc_id")
 
 
-@query()
+@query("""WITH r AS (SELECT DISTINCT route, service_date FROM cta_ridership_sample WHERE route IS NOT NULL), h AS (SELECT *, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(route || '-' || strftime(service_date, '%Y-%m-%d'))) AS h FROM r)
+  SELECT route, service_date, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', instr('0123456789abcdef', h[17:17]) % 4 + CASE WHEN instr('0123456789abcdef', h[17:17]) % 4 = 0 THEN 4 ELSE 0 END, 1) || h[18:20] || '-' || h[21:32] AS event_id FROM h""")
 def uuid5_ids(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "cta_ridership_sample").select("route", "service_date").distinct()
     return rows.withColumn("event_id", ids.uuid5(F.concat_ws("-", "route", F.date_format("service_date", "yyyy-MM-dd"))))
@@ -662,10 +665,10 @@ def did_quadrants(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT route, avg(rides) FILTER (kind = 'W') AS w, avg(rides) FILTER (kind = 'A') AS a, avg(rides) FILTER (kind = 'U') AS u FROM
-  (SELECT DISTINCT route, service_date, rides, upper(trim(day_type)) AS kind FROM cta_ridership_sample WHERE rides BETWEEN 0 AND 100000 AND day_type IS NOT NULL) GROUP BY 1)
+  (SELECT DISTINCT route, service_date, rides, upper(trim(day_type)) AS kind FROM cta_ridership_sample WHERE rides IS NOT NULL AND day_type IS NOT NULL) GROUP BY 1)
   SELECT route, w / greatest(w, a, u) AS "W", a / greatest(w, a, u) AS "A", u / greatest(w, a, u) AS "U" FROM p""")
 def day_type_profile(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "cta_ridership_sample").where("rides BETWEEN 0 AND 100000 AND day_type IS NOT NULL")
+    rows = table(spark, folder, "cta_ridership_sample").where("rides IS NOT NULL AND day_type IS NOT NULL")
     rows = rows.select("route", "service_date", "rides", F.upper(F.trim("day_type")).alias("kind")).distinct()
     return R.row_profile(R.pivot(rows, ["route"], "kind", ["W", "A", "U"], F.avg("rides")), ["W", "A", "U"])
 
@@ -701,7 +704,15 @@ def near_copies(spark: SparkSession, folder: str) -> DataFrame:
     return R.near_copies(table(spark, folder, "documents"), "doc_id", text.plain(F.col("text")))
 
 
-@query()
+def _s_psi(column: str) -> str:
+    return f"""(WITH b AS (SELECT {column} AS x FROM orders WHERE year(o_orderdate) < 1998), c AS (SELECT {column} AS x FROM orders WHERE year(o_orderdate) >= 1998),
+  e AS (SELECT list_sort(list_distinct(quantile_cont(x, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS e FROM b), i AS (SELECT unnest(generate_series(1, len(e) - 1)) AS i, e FROM e),
+  p AS (SELECT i, (SELECT count(*) FROM b WHERE x >= e[i] AND (x < e[i + 1] OR (i = len(e) - 1 AND x <= e[i + 1]))) / (SELECT count(*) FROM b) + 1e-6 AS pb,
+    (SELECT count(*) FROM c WHERE x >= e[i] AND (x < e[i + 1] OR (i = len(e) - 1 AND x <= e[i + 1]))) / (SELECT count(*) FROM c) + 1e-6 AS pc FROM i) SELECT sum((pc - pb) * ln(pc / pb)) FROM p)"""
+
+
+@query(f"""WITH p AS (SELECT 'o_totalprice' AS "column", {_s_psi('o_totalprice')} AS psi UNION ALL SELECT 'customer', {_s_psi('CAST(o_custkey AS DOUBLE)')})
+  SELECT *, CASE WHEN psi < 0.1 THEN 'STABLE' WHEN psi < 0.2 THEN 'MODERATE' ELSE 'SIGNIFICANT' END AS status, psi >= 0.2 AS alert FROM p""")
 def drift_report(spark: SparkSession, folder: str) -> DataFrame:
     o = table(spark, folder, "orders").select(F.year("o_orderdate").alias("y"), "o_totalprice", F.col("o_custkey").alias("customer"))
     return stats.drift_report(o.where("y < 1998"), o.where("y >= 1998"), ["o_totalprice", "customer"])
@@ -764,7 +775,7 @@ def sector_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def ridership_forecast(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "cta_ridership_sample").where("rides BETWEEN 1 AND 100000").select("route", "service_date", "rides").distinct()
+    rows = table(spark, folder, "cta_ridership_sample").where("rides > 0").select("route", "service_date", "rides").distinct()
     return learning.seasonal_regression(rows, "route", "service_date", "rides", "2023-12-01")
 
 

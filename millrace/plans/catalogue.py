@@ -21,7 +21,7 @@ ROUNDED = {
     "freight_ratio_category": ["pct"], "freight_ratio_region": ["pct"], "freight_hotspots": ["pct"], "late_rate_nation": ["pct"], "late_rate_seller": ["pct"],
     "forecast_metrics": ["mae", "mape", "rmse"], "did_estimate": ["did", "se", "z", "low", "high"], "event_study": ["difference", "se"],
     "did_by_weekend": ["did", "se"], "did_robustness": ["did"], "did_quadrants": ["before", "after", "change"], "temperature_correlation": ["correlation", "slope", "intercept"],
-    "neighbour_similarity": ["mean_similarity"], "auc_by_group": ["auc"], "fairness_gaps": ["auc", "gap"], "score_bands": ["mean_score"], "psi_drift": ["psi"],
+    "neighbour_similarity": ["mean_similarity"], "auc_by_group": ["auc"], "fairness_gaps": ["auc", "gap"], "score_bands": ["mean_score"], "psi_drift": ["psi"], "drift_report": ["psi"],
     "monitoring_stats": ["mean", "flagged_rate", "p95"], "rain_effect": ["with_mean", "without_mean", "pct_change"], "day_type_profile": ["W", "A", "U"],
     "recent_weather": ["temperature_2m", "windspeed_10m"], "funding_trends": ["growth"], "cohort_revenue": ["so_far"], "ab_ztest": ["rate_a", "rate_b", "lift", "z"],
     "calendar_features": ["dow_sin", "dow_cos", "month_sin", "month_cos"], "weekly_resample": ["mean_rides"], "p2_trailing_totals": ["avg_7", "avg_30"],

@@ -645,3 +645,35 @@ def json_contract(spark: SparkSession, folder: str) -> DataFrame:
     rules = Q.json_schema("props", {"k": "int"}, required=["k"], additional=False)
     checked = Q.validate(table(spark, folder, "events"), rules)
     return checked.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.size("validation_errors") == 0).alias("with_k"))
+
+
+# Learning ---------------------------------------------------------------------------------------
+@query("SELECT o_orderstatus = 'F' AS label, count(*) * CASE WHEN o_orderstatus = 'F' THEN 3 ELSE 1 END AS rows FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY o_orderstatus")
+def oversampled(spark: SparkSession, folder: str) -> DataFrame:
+    o = table(spark, folder, "orders").where("o_orderstatus IN ('F', 'O')").select("o_orderkey", "o_totalprice", F.dayofyear("o_orderdate").alias("day"), (F.col("o_orderstatus") == "F").alias("label"))
+    return learning.synthetic_minority(o, "o_orderkey", ["o_totalprice", "day"], "label", True, 2).groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("""SELECT c_custkey AS customer, CASE WHEN abs(2.0 * c_acctbal) >= abs(-3.0 * c_nationkey) THEN 'balance' ELSE 'nation' END AS feature FROM customer""")
+def score_contributions(spark: SparkSession, folder: str) -> DataFrame:
+    """What moves a linear score of each customer most."""
+    c = table(spark, folder, "customer")
+    rows = c.select(F.col("c_custkey").alias("customer"), learning.array_to_vector(F.array(F.col("c_acctbal"), F.col("c_nationkey").cast("double"))).alias("features"))
+    told = learning.contributions(rows, [2.0, -3.0], ["balance", "nation"], most=1)
+    return told.select("customer", F.col("contributions")[0]["feature"].alias("feature"))
+
+
+@query("""SELECT c_custkey AS customer, 'c_acctbal' AS feature, c_acctbal AS value FROM customer UNION ALL SELECT c_custkey, 'c_nationkey', c_nationkey FROM customer""")
+def important_values(spark: SparkSession, folder: str) -> DataFrame:
+    """The important features with each row's own value."""
+    c = table(spark, folder, "customer").select(F.col("c_custkey").alias("customer"), "c_acctbal", "c_nationkey")
+    found = spark.createDataFrame([("c_acctbal", 0.7), ("c_nationkey", 0.3)], "feature string, importance double")
+    return learning.with_own_values(c, found).select("customer", "feature", "value")
+
+
+@query()
+def route_forecasts(spark: SparkSession, folder: str) -> DataFrame:
+    """A forecast with band for every route, fitted on weather and holidays beside trend and season."""
+    rows = table(spark, folder, "cta_ridership_sample").groupBy("route", "service_date").agg(F.max("rides").alias("rides"), F.max("precipitation").alias("rain"), F.max("temperature_2m").alias("warmth"))
+    rows = rows.withColumn("holiday", dates.us_federal_holiday(F.col("service_date")).cast("double"))
+    return learning.series_forecast(rows, "route", "service_date", "rides", "2023-12-31", 28, ["rain", "warmth"], "holiday")
