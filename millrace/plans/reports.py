@@ -192,13 +192,13 @@ def value_buckets(spark: SparkSession, folder: str) -> DataFrame:
     return R.totals(rows, {"orders": F.count(F.lit(1)), "value": F.sum(money("o_totalprice", 14, 2)).cast("double")}, ["bucket"])
 
 
-# Delivery: estimated 20 days after the order, delivered after 10 to 40 days, unknown for some orders.
+# Delivery: estimated 20 days after the order, delivered after 10 to 40 days, NULL (unknown) for some orders, which count as not late.
 def _delivery(spark, folder):
-    days = F.col("o_orderkey") % 31 - 10
-    return _delivered(spark, folder).where("o_orderkey % 97 <> 0").withColumn("days_late", days).withColumn("score", 1 + F.col("o_orderkey") % 5)
+    days = F.when(F.col("o_orderkey") % 97 != 0, F.col("o_orderkey") % 31 - 10)
+    return _delivered(spark, folder).withColumn("days_late", days).withColumn("score", 1 + F.col("o_orderkey") % 5)
 
 
-S_DELIVERY = "(SELECT *, o_orderkey % 31 - 10 AS days_late, 1 + o_orderkey % 5 AS score FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 97 <> 0)"
+S_DELIVERY = "(SELECT *, CASE WHEN o_orderkey % 97 <> 0 THEN o_orderkey % 31 - 10 END AS days_late, 1 + o_orderkey % 5 AS score FROM orders WHERE o_orderstatus = 'F')"
 
 
 @query(f"SELECT o_orderkey, days_late FROM {S_DELIVERY} WHERE days_late > 0 ORDER BY days_late DESC, o_orderkey LIMIT 100")
@@ -208,10 +208,10 @@ def late_orders_top(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""SELECT CASE WHEN days_late <= 0 THEN 'on time' WHEN days_late <= 3 THEN '1-3 days' WHEN days_late <= 7 THEN '4-7 days'
-  WHEN days_late <= 14 THEN '8-14 days' ELSE '15 days and more' END AS bucket, count(*) AS orders, CAST(sum(score) AS DOUBLE) / count(*) AS mean_score
+  WHEN days_late <= 14 THEN '8-14 days' WHEN days_late > 14 THEN '15 days and more' ELSE 'unknown' END AS bucket, count(*) AS orders, CAST(sum(score) AS DOUBLE) / count(*) AS mean_score
   FROM {S_DELIVERY} GROUP BY 1""")
 def delay_buckets(spark: SparkSession, folder: str) -> DataFrame:
-    label = buckets(F.col("days_late"), (0, 3, 7, 14), ("on time", "1-3 days", "4-7 days", "8-14 days", "15 days and more"), right=True)
+    label = buckets(F.col("days_late"), (0, 3, 7, 14), ("on time", "1-3 days", "4-7 days", "8-14 days", "15 days and more"), right=True, missing="unknown")
     return R.totals(_delivery(spark, folder).withColumn("bucket", label), {"orders": F.count(F.lit(1)), "mean_score": F.avg("score")}, ["bucket"])
 
 

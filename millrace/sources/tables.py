@@ -141,9 +141,12 @@ def create_view(df: DataFrame, name: str, materialize: VersionedTable | None = N
 
 
 def write_json_by_key(df: DataFrame, path: str, keys: Sequence[str], compression: str = "gzip") -> None:
-    """JSON lines below ``key=value`` folders; only the folders of the batch are replaced, so a rerun repeats itself."""
+    """JSON lines below ``key=value`` folders; only the folders of the batch are replaced, so a rerun repeats itself.
+
+    Rows are laid out by the keys first, large keys in several parts, so a folder has few files.
+    """
     (
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", compression).options(**EXACT)
+        df.hint("rebalance", *[F.col(k) for k in keys]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", compression).options(**EXACT)
         .partitionBy(*keys).json(path)
     )
 
