@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.scan import carried
 from millrace.operators.skew import salted_join
 
+FOREVER = "9999-12-31 23:59:59"
+
 
 @dataclass(frozen=True)
 class Reference:
@@ -64,27 +67,24 @@ def _parents(refs: Sequence[Reference]) -> DataFrame:
 def key_groups(refs: Sequence[Reference]) -> DataFrame:
     """Tagged parent and child keys in long form, grouped by parent table and key.
 
-    Output per group: ``lives`` (the distinct lifetimes of the parent rows, empty without a parent),
-    ``children``, ``first_at`` and ``last_at`` of the references. Both sides are folded before the
-    shuffle, so a key that holds a third of all references costs one row per partition.
+    Output per group with references: ``children``, ``undated`` ones among them, ``first_at`` of the others,
+    ``parents``, and ``open_since``, the earliest load of a parent row that was never deleted. All of these are folded
+    before the shuffle, so a key that holds a third of all rows costs one row per partition.
     """
     child = _children(refs).select(
-        "parent_table", "key", F.lit(1).alias("child"), "at", F.lit(None).cast("struct<loaded_at:timestamp_ntz,deleted_at:timestamp_ntz>").alias("life")
-    )
-    parent = _parents(refs).select(
-        "parent_table", "key", F.lit(0).alias("child"), F.lit(None).cast("timestamp_ntz").alias("at"),
-        F.col("life").cast("struct<loaded_at:timestamp_ntz,deleted_at:timestamp_ntz>").alias("life"),
+        "parent_table", "key", F.lit(1).alias("child"), F.col("at").cast("timestamp_ntz").alias("at"), F.lit(None).cast("timestamp_ntz").alias("open")
     )
+    life = F.when(F.col("life.deleted_at").isNull(), F.col("life.loaded_at")).cast("timestamp_ntz")
+    parent = _parents(refs).select("parent_table", "key", F.lit(0).alias("child"), F.lit(None).cast("timestamp_ntz").alias("at"), life.alias("open"))
     return (
-        child.withColumn("at", F.col("at").cast("timestamp_ntz"))
-        .unionByName(parent)
+        child.unionByName(parent)
         .groupBy("parent_table", "key")
         .agg(
-            F.collect_set("life").alias("lives"),
             F.sum("child").alias("children"),
+            F.sum(1 - F.col("child")).alias("parents"),
             F.count_if((F.col("child") == 1) & F.col("at").isNull()).alias("undated"),
             F.min("at").alias("first_at"),
-            F.max("at").alias("last_at"),
+            F.min("open").alias("open_since"),
         )
         .where("children > 0")
     )
@@ -98,22 +98,34 @@ def orphans(refs: Sequence[Reference]) -> DataFrame:
     that key loaded at or before the row's time and not deleted by then. A NULL reference is no
     reference. A row without a time cannot have a parent in time and is reported with a NULL period.
 
-    Groups that one parent lifetime covers from the first to the last reference are settled by their
-    parent flag alone; only the rows of the other groups are looked at again.
+    Groups without parents are orphans as a whole, and groups that a parent row stands for since before their first
+    reference are sound. The rows of the others are put in the order of time with the lifetimes of their parents: a
+    reference is sound if the latest end of what was loaded by then lies after it. That runs in blocks of a
+    month, so neither a key's references nor its parent rows have to fit a task.
     """
     groups = key_groups(refs)
-    covered = F.exists(
-        "lives",
-        lambda x: (x["loaded_at"] <= F.col("first_at"))
-        & (x["deleted_at"].isNull() | (x["deleted_at"] > F.col("last_at"))),
-    )
-    doubtful = groups.where(~F.coalesce(covered, F.lit(False)) | (F.col("undated") > 0)).select("parent_table", "key", "lives")
-    alive = F.exists(
-        "lives", lambda x: (x["loaded_at"] <= F.col("at")) & (x["deleted_at"].isNull() | (x["deleted_at"] > F.col("at")))
+    sound = F.coalesce(F.col("open_since") <= F.col("first_at"), F.lit(False)) & (F.col("undated") == 0)
+    open_ = groups.where(~sound).select("parent_table", "key", (F.col("parents") > 0).alias("has_parent"))
+    rows = salted_join(_children(refs), open_, ["parent_table", "key"])
+    lacking = rows.where(~F.col("has_parent") | F.col("at").isNull()).select("table_name", "row_key", "at")
+
+    doubtful = open_.where("has_parent").select("parent_table", "key")
+    lives = salted_join(_parents(refs), doubtful, ["parent_table", "key"], "left_semi").where("life.loaded_at IS NOT NULL")
+    until = F.coalesce(F.col("life.deleted_at").cast("timestamp_ntz"), F.lit(FOREVER).cast("timestamp_ntz"))
+    none = F.lit(None).cast("string")
+    loads = lives.select("parent_table", "key", F.col("life.loaded_at").cast("timestamp_ntz").alias("at"), F.lit(0).alias("child"), until.alias("until"), none.alias("table_name"), none.alias("row_key"))
+    asked = rows.where(F.col("has_parent") & F.col("at").isNotNull()).select(
+        "parent_table", "key", F.col("at").cast("timestamp_ntz").alias("at"), F.lit(1).alias("child"), F.lit(None).cast("timestamp_ntz").alias("until"), "table_name", "row_key"
     )
-    rows = salted_join(_children(refs), doubtful, ["parent_table", "key"])
+    keys = ["parent_table", "key"]
+    line = loads.unionByName(asked).withColumn("month", F.trunc(F.col("at").cast("date"), "MM"))
+    before = carried(line, keys, "month", {"reached": F.max("until")}, {"reached": "max"})
+    inside = Window.partitionBy(*keys, "month").orderBy("at", "child").rowsBetween(Window.unboundedPreceding, 0)
+    line = line.withColumn("here", F.max("until").over(inside)).join(before, [*keys, "month"])
+    alive = F.coalesce(F.greatest("here", "reached") > F.col("at"), F.lit(False))
+    missed = line.where((F.col("child") == 1) & ~alive).select("table_name", "row_key", "at")
     return (
-        rows.where(~F.coalesce(alive, F.lit(False)))
+        lacking.select("table_name", "row_key", F.col("at").cast("timestamp_ntz").alias("at")).unionByName(missed)
         .groupBy("table_name", "row_key")
         .agg(F.min(F.date_format("at", "yyyy-MM")).alias("period"))
     )
