@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.scan import carried
 from millrace.operators.skew import salted_join
+from millrace.runtime import cut
 
 FOREVER = "9999-12-31 23:59:59"
 
@@ -105,8 +106,8 @@ def orphans(refs: Sequence[Reference]) -> DataFrame:
     """
     groups = key_groups(refs)
     sound = F.coalesce(F.col("open_since") <= F.col("first_at"), F.lit(False)) & (F.col("undated") == 0)
-    open_ = groups.where(~sound).select("parent_table", "key", (F.col("parents") > 0).alias("has_parent"))
-    rows = salted_join(_children(refs), open_, ["parent_table", "key"])
+    open_ = cut(groups.where(~sound).select("parent_table", "key", (F.col("parents") > 0).alias("has_parent")))
+    rows = cut(salted_join(_children(refs), open_, ["parent_table", "key"]))
     lacking = rows.where(~F.col("has_parent") | F.col("at").isNull()).select("table_name", "row_key", "at")
 
     doubtful = open_.where("has_parent").select("parent_table", "key")
