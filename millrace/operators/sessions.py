@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.scan import carried
-from millrace.runtime import scratch
+from millrace.runtime import cut, scratch
 from millrace.sources.log import CommitLog
 
 SCHEMA = "user_id bigint, start timestamp_ntz, end timestamp_ntz, first_event_id string, last_event_id string, events bigint"
@@ -39,7 +39,7 @@ def bridge(sessions: DataFrame, gap_minutes: float = 30) -> DataFrame:
     ends = carried(rows, ["user_id"], "day", {"carried_end": F.max("e")}, {"carried_end": "max"})
     rows = rows.withColumn("end_here", F.max("e").over(before)).join(ends, ["user_id", "day"])
     reached = F.greatest("end_here", "carried_end")
-    rows = rows.withColumn("opens", F.when(reached.isNull() | (F.col("s") - reached > gap), F.col("s")))
+    rows = cut(rows.withColumn("opens", F.when(reached.isNull() | (F.col("s") - reached > gap), F.col("s"))).drop("end_here", "carried_end"))
     opened = carried(rows, ["user_id"], "day", {"carried_open": F.max("opens")}, {"carried_open": "max"})
     rows = rows.withColumn("open_here", F.max("opens").over(upto)).join(opened, ["user_id", "day"])
     return (
@@ -57,25 +57,24 @@ def bridge(sessions: DataFrame, gap_minutes: float = 30) -> DataFrame:
 
 
 def local_sessions(events: DataFrame, gap_minutes: float = 30) -> DataFrame:
-    """Sessions of single events within a user and day; what reaches over midnight is left to ``bridge``."""
+    """Sessions of single events within a user and day; what reaches over midnight is left to ``bridge``.
+
+    Only the first and the last event of each session leave the window, side by side, so a session is read off
+    its first event's row: no group is formed.
+    """
     gap = int(gap_minutes * 60_000_000)
     rows = events.select("user_id", "first_event_id", "start", F.col("start").cast("date").alias("day"), _micros("start").alias("s"))
     order = Window.partitionBy("user_id", "day").orderBy("s", "first_event_id")
-    opens = F.when(F.col("s") - F.lag("s").over(order) <= gap, 0).otherwise(1)
-    numbered = rows.withColumn("opens", opens).withColumn("n", F.sum("opens").over(order))
-    last = F.lead("opens").over(order)
-    edges = numbered.withColumn("ends", F.coalesce(last, F.lit(1)))
-    return (
-        edges.groupBy("user_id", "day", "n")
-        .agg(
-            F.min("start").alias("start"),
-            F.max("start").alias("end"),
-            F.max(F.when(F.col("opens") == 1, F.col("first_event_id"))).alias("first_event_id"),
-            F.max(F.when(F.col("ends") == 1, F.col("first_event_id"))).alias("last_event_id"),
-            F.count(F.lit(1)).alias("events"),
-        )
-        .drop("day", "n")
+    before, after = F.col("s") - F.lag("s").over(order), F.lead("s").over(order) - F.col("s")
+    marked = rows.withColumns(
+        {"opens": F.coalesce(before > gap, F.lit(True)), "ends": F.coalesce(after > gap, F.lit(True)), "n": F.row_number().over(order)}
+    ).where("opens OR ends")
+    other = lambda c: F.when(F.col("ends"), F.col(c)).otherwise(F.lead(c).over(order))
+    paired = marked.select(
+        "user_id", "start", other("start").alias("end"), "first_event_id", other("first_event_id").alias("last_event_id"),
+        (other("n") - F.col("n") + 1).cast("bigint").alias("events"), "opens",
     )
+    return paired.where("opens").drop("opens")
 
 
 def with_session_start(df: DataFrame, user: str, at: str, gap_seconds: float, name: str = "session") -> DataFrame:
