@@ -131,3 +131,18 @@ def one_of(c: Column, patterns: dict[str, str]) -> Column:
         hit = F.coalesce(c, F.lit("")).rlike(f"(?i){pattern}")
         out = F.when(hit, value) if out is None else out.when(hit, value)
     return out
+
+
+def answer_and_sources(c: Column, marker: str = "Sources:") -> tuple[Column, Column]:
+    """The text before the last marker, and the distinct addresses after it (an empty array without a marker)."""
+    at = F.length(c) - F.instr(F.reverse(c), marker[::-1]) - len(marker) + 1
+    has = F.contains(c, F.lit(marker))
+    before = F.when(has, F.rtrim(F.substring(c, F.lit(1), at.cast("int")))).otherwise(c)
+    after = F.when(has, urls(F.substring(c, (at + 1).cast("int"), F.length(c)))).otherwise(F.array().cast("array<string>"))
+    return before, after
+
+
+def preferred(addresses: Column, host: str) -> Column:
+    """The first address of a host (or below it), else the first address; NULL without any."""
+    own = F.filter(addresses, lambda u: (link_host(u) == host) | link_host(u).endswith(f".{host}"))
+    return F.coalesce(F.get(own, F.lit(0)), F.get(addresses, F.lit(0)))

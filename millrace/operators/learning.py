@@ -308,3 +308,32 @@ def series_forecast(
     rows = rows.where("key IS NOT NULL AND day IS NOT NULL")
     found = rows.groupBy("key").applyInPandas(fit, f"key {kind}, day date, forecast double, low double, high double")
     return found.withColumnsRenamed({"key": key, "day": day})
+
+
+def text_vectors(df: DataFrame, text: str, name: str = "vector", size: int = 64) -> DataFrame:
+    """Add ``name``: a unit vector of each text, its word counts (damped by 1 + ln) projected along random signs per word.
+
+    Texts that share words have similar vectors. Signs come from a hash of the word, so no model is fitted or sent. Texts
+    without words have NULL.
+    """
+    from hashlib import blake2b
+
+    @F.pandas_udf("array<double>")
+    def project(texts: pd.Series) -> pd.Series:
+        known: dict[str, np.ndarray] = {}
+        out = []
+        for found in texts:
+            if found is None or not len(found):
+                out.append(None)
+                continue
+            names, counts = np.unique(np.asarray(found, dtype=object).astype(str), return_counts=True)
+            for w in names:
+                if w not in known:
+                    bits = np.unpackbits(np.frombuffer(blake2b(w.encode(), digest_size=-(-size // 8)).digest(), "uint8"))[:size]
+                    known[w] = bits.astype("float64") * 2 - 1
+            v = (1 + np.log(counts)) @ np.stack([known[w] for w in names])
+            length = np.linalg.norm(v)
+            out.append((v / length).tolist() if length else None)
+        return pd.Series(out)
+
+    return df.withColumn(name, project(words(F.col(text))))

@@ -677,3 +677,62 @@ def route_forecasts(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "cta_ridership_sample").groupBy("route", "service_date").agg(F.max("rides").alias("rides"), F.max("precipitation").alias("rain"), F.max("temperature_2m").alias("warmth"))
     rows = rows.withColumn("holiday", dates.us_federal_holiday(F.col("service_date")).cast("double"))
     return learning.series_forecast(rows, "route", "service_date", "rides", "2023-12-31", 28, ["rain", "warmth"], "holiday")
+
+
+@query("""SELECT user_id, 'answer ' || user_id AS answer, CAST(CASE WHEN user_id % 3 = 0 THEN 0 ELSE 2 END AS INTEGER) AS links, CASE WHEN user_id % 3 = 0 THEN NULL WHEN user_id % 3 = 1 THEN 'https://www.city.example/b' ELSE 'https://other.example/a' END AS best
+  FROM (SELECT DISTINCT user_id FROM events)""")
+def answers_with_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers split at their sources, and the source of a preferred host."""
+    k = F.col("user_id")
+    links = F.when(k % 3 == 1, " Sources: https://other.example/a, https://www.city.example/b. https://other.example/a").when(k % 3 == 2, " Sources: https://other.example/a https://x.example").otherwise("")
+    rows = table(spark, folder, "events").select("user_id").distinct().withColumn("t", F.concat(F.lit("answer "), k, links))
+    before, found = text.answer_and_sources(F.col("t"))
+    return rows.select("user_id", before.alias("answer"), F.size(found).alias("links"), text.preferred(found, "city.example").alias("best"))
+
+
+@query("SELECT count(*) AS rows, 0 AS differing FROM orders")
+def stored_model(spark: SparkSession, folder: str) -> DataFrame:
+    """A fitted pipeline saved, loaded and applied: rows that it scores otherwise than before."""
+    from millrace.runtime import scratch
+
+    rows = table(spark, folder, "orders").select("o_orderkey", F.array(F.col("o_totalprice") / 1e5, (F.col("o_custkey") % 7).cast("double")).alias("x"), (F.col("o_orderstatus") == "F").cast("double").alias("label"))
+    rows = rows.select("o_orderkey", learning.array_to_vector("x").alias("features"), "label")
+    model = learning.Pipeline(stages=[learning.LogisticRegression(maxIter=5)]).fit(rows)
+    path = scratch(spark, "model")
+    learning.save(model, path)
+    a = learning.probability(model, rows).select("o_orderkey", F.col("score").alias("a"))
+    b = learning.probability(learning.load(path), rows).select("o_orderkey", F.col("score").alias("b"))
+    return a.join(b, "o_orderkey").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("a") != F.col("b")).cast("int").alias("differing"))
+
+
+@query()
+def vector_index_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """Every 50th vector asked of an index of all vectors."""
+    e = table(spark, folder, "embeddings")
+    found = retrieval.VectorIndex(e, "vec_id", "embedding").search(e.where("vec_id % 50 = 0"), "vec_id", "embedding", 10)
+    return found.select("query_id", "key", "position")
+
+
+@query()
+def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Every 50th document asked of all documents: words and vectors fused, reranked, held to the topic where there are hits of it."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    asked = docs.where("doc_id % 50 = 0")
+    v = learning.text_vectors(docs, "text").where("vector IS NOT NULL")
+    near = retrieval.cosine_top_k(v, "doc_id", "vector", v.where("doc_id % 50 = 0"), "doc_id", "vector", 20).withColumnRenamed("key", "doc_id")
+    lexical = retrieval.bm25(docs, "doc_id", {"text": 1.0}, asked, "doc_id", "text", 20)
+    found = retrieval.hybrid([lexical, near], docs, "doc_id", "text", [("notice", 0.01), ("spam", -0.01)], F.col("source").isin("help_center", "policy_pages"), 5)
+    return found.select("query_id", "doc_id", "position")
+
+
+@query()
+def chunk_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks merged by content into a table; sending them again changes nothing."""
+    from millrace.runtime import scratch
+    from millrace.sources.tables import VersionedTable
+
+    chunks = retrieval.chunk(table(spark, folder, "documents"), "doc_id", "text").select("chunk_id", "doc_id", "chunk_no", "words")
+    stored = VersionedTable(spark, scratch(spark, "chunks"), buckets=8)
+    for _ in range(2):
+        stored.upsert(chunks.dropDuplicates(["chunk_id"]), ["chunk_id"])
+    return stored.read()

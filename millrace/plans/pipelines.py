@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.numbers import money
+from millrace.plans import analytics
 from millrace.operators import quality as Q
 from millrace.operators.reports import in_given_order
 from millrace.runtime import scratch, table
@@ -367,3 +368,11 @@ def streamed_words(spark: SparkSession, folder: str) -> DataFrame:
 def priorities_in_order(spark: SparkSession, folder: str) -> DataFrame:
     out = table(spark, folder, "orders").groupBy(F.col("o_orderpriority").alias("priority"), F.weekday("o_orderdate").alias("weekday")).agg(F.count(F.lit(1)).alias("orders"))
     return in_given_order(out, "priority", ["5-LOW", "1-URGENT", "2-HIGH"])
+
+
+@query(analytics.SQL["drift_report"], ("psi",))
+def drift_file(spark: SparkSession, folder: str) -> DataFrame:
+    """The drift report as a JSON file, read back."""
+    path = scratch(spark, "drift")
+    analytics.drift_report(spark, folder).write.mode("overwrite").json(path)
+    return spark.read.schema("column string, psi double, status string, alert boolean").json(path)

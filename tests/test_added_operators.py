@@ -137,3 +137,29 @@ def test_failed_lookups_are_not_asked_again(spark):
     assert rows(hits) == [(1, "a")] and rows(memory) == [(1, True), (2, False)]
     again, memory = pipeline.looked_up(asked, "k", spark.createDataFrame([(2, "late")], "k int, v string"), memory)
     assert again.count() == 0 and rows(memory) == [(1, True), (2, False)]
+
+
+def test_index_finds_what_the_exact_search_finds(spark):
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    asked = v.where("vec_id % 50 = 0")
+    exact = {(r.query_id, r.key) for r in retrieval.cosine_top_k(v, "vec_id", "embedding", asked, "vec_id", "embedding", 10).collect()}
+    index = retrieval.VectorIndex(v, "vec_id", "embedding")
+    assert index.rows.count() == v.count()
+    found = {(r.query_id, r.key) for r in index.search(asked, "vec_id", "embedding", 10).collect()}
+    recall = len(exact & found) / len(exact)
+    print("recall", recall)
+    assert recall >= 0.9
+
+
+def test_index_of_nothing_and_of_odd_vectors(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0]), (5, [1.0, 1.0])], "id int, v array<double>")
+    index = retrieval.VectorIndex(v, "id", "v", lists=2)
+    assert rows(index.search(v, "id", "v", 1, 2), "query_id", "key") == [(1, 1), (5, 5)]
+    assert retrieval.VectorIndex(v.limit(0), "id", "v").search(v, "id", "v").count() == 0
+
+
+def test_text_vectors_of_like_texts_are_alike(spark):
+    d = spark.createDataFrame([(1, "red bus stop near the school"), (2, "the red bus stop near a school"), (3, "funding round led by investors"), (4, ""), (5, None)], "id int, t string")
+    v = {r.id: r.vector for r in learning.text_vectors(d, "t").collect()}
+    assert v[4] is None and v[5] is None
+    assert np.dot(v[1], v[2]) > 0.6 > np.dot(v[1], v[3])
