@@ -36,7 +36,7 @@ class Fences:
 
 
 def readings(df: DataFrame, source: str, day: str, value: str, context: str, version: str) -> DataFrame:
-    """One row per source and day: ``source, day, value, context``.
+    """One row per source and day: ``source, month, day, value, context``, laid out by source and month.
 
     The latest delivery counts. A missing context (kind of day) is taken from what most sources state
     for that day; if none does, from the weekday. NULL values are no readings; rows without source or
@@ -52,11 +52,13 @@ def readings(df: DataFrame, source: str, day: str, value: str, context: str, ver
     )
     weekday = F.when(F.weekday("day") == 5, "A").when(F.weekday("day") == 6, "U").otherwise("W")
     once = (
-        rows.where("value IS NOT NULL AND NOT isnan(value)").groupBy("source", "day")
+        rows.where("value IS NOT NULL AND NOT isnan(value)").withColumn("month", F.trunc("day", "MM")).repartition("source", "month")
+        .groupBy("source", "month", "day")
         .agg(F.max_by("value", F.struct("version", "value")).alias("value"), F.max("context").alias("own"))
     )
-    return once.join(days, "day", "left").select(
-        "source", "day", "value", F.coalesce("own", "stated", weekday).alias("context")
+    # One row per calendar day, whatever the number of sources.
+    return once.join(F.broadcast(days), "day", "left").select(
+        "source", "month", "day", "value", F.coalesce("own", "stated", weekday).alias("context")
     )
 
 
@@ -102,8 +104,11 @@ def flag_readings(
     task. Sources with fewer readings than ``least_around`` on both sides can only be impossible or frozen.
     """
     s = settings
-    rows = cut(readings(df, source, day, value, context, version))
-    rows = with_position(rows.withColumn("month", F.trunc("day", "MM")), ["source"], "month", ["day"], "at").drop("month")
+    rows = with_position(readings(df, source, day, value, context, version), ["source"], "month", ["day"], "at").drop("month")
+    rows = cut(rows)
+    # What is known of a source is repeated for each of its blocks, so that it meets the readings where they lie.
+    blocks = rows.groupBy("source").agg(F.max("at").alias("n")).select("source", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / s.block))).alias("block"))
+    meet = lambda part, known: part.join(blocks.join(known, "source"), ["source", "block"], "left")
     halo = s.around + s.frozen
     w = Window.partitionBy("source", "block").orderBy("at")
     parts = _blocks(rows, s.block, halo)
@@ -115,8 +120,9 @@ def flag_readings(
     level = parts.where(F.col("own") & usable).groupBy("source", "context").agg(
         F.percentile_approx("value", 0.5, F.lit(s.accuracy)).alias("level")
     )
+    level = level.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("context", "level"))).alias("levels"))
     z = F.when(usable, F.log(F.greatest(F.col("value"), F.lit(1.0)) / F.greatest(F.col("level"), F.lit(1.0))))
-    parts = parts.join(level, ["source", "context"], "left").withColumn("z", z)
+    parts = meet(parts, level).withColumn("level", F.try_element_at("levels", F.col("context"))).drop("levels").withColumn("z", z)
     past = F.collect_list("z").over(w.rowsBetween(-s.around, -1))
     coming = F.collect_list("z").over(w.rowsBetween(1, s.around))
     seen = parts.withColumn("past", _median(past, s.least_around)).withColumn("coming", _median(coming, s.least_around)).where("own")
@@ -124,12 +130,14 @@ def flag_readings(
     down = F.col("z") - F.coalesce("coming", "past")
     change = F.when(F.signum(up) != F.signum(down), 0.0).otherwise(F.when(F.abs(up) < F.abs(down), up).otherwise(down))
     seen = cut(
-        seen.select("source", "day", "value", "context", "level", "frozen", ((up + down) / 2).alias("both"), change.alias("change"))
+        seen.select("source", "block", "day", "value", "context", "level", "frozen", ((up + down) / 2).alias("both"), change.alias("change"))
     )
     quartiles = lambda c: F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), F.lit(s.accuracy))
+    width = lambda q: q[1] - q[0]
     usual = seen.groupBy("source", "context").agg(quartiles("both").alias("q"))
+    usual = usual.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("context", width(F.col("q")).alias("q")))).alias("usual"))
     calm = seen.groupBy("source").agg(quartiles(F.when(F.col("change") <= math.log(s.raised), F.col("both"))).alias("calm"))
-    ranged = seen.join(calm.select("source", (F.col("calm")[1] - F.col("calm")[0]).alias("calm")), "source", "left")
+    ranged = meet(seen, usual.join(calm.select("source", width(F.col("calm")).alias("calm")), "source"))
     raised = F.col("change") > F.greatest(F.lit(math.log(s.raised)), s.fence * F.col("calm"))
     habits = (
         ranged.groupBy("source")
@@ -137,7 +145,7 @@ def flag_readings(
         .where(F.col("share") >= s.habit)
         .select("source", (F.col("busy")[1] + 1.5 * (F.col("busy")[1] - F.col("busy")[0])).alias("busy_to"))
     )
-    spread = F.greatest(F.col("q")[1] - F.col("q")[0], F.col("calm"))
+    spread = F.greatest(F.try_element_at("usual", F.col("context")), F.col("calm"))
     root = F.sqrt(F.greatest(F.greatest("value", F.lit(1.0)) / F.exp("change"), F.lit(1.0)))
     beyond = F.lit(s.fence) * F.sqrt(F.greatest(spread * spread - (1.35 / root) * (1.35 / root), F.lit(0.0)))
     both = lambda x: F.sqrt(beyond * beyond + x * x)
@@ -152,6 +160,6 @@ def flag_readings(
         )
     )
     return (
-        ranged.join(usual, ["source", "context"], "left").join(habits, "source", "left")
+        meet(ranged, habits)
         .select("source", "day", "value", "context", "level", "change", reasons.alias("reasons"))
     )
