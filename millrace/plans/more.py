@@ -736,3 +736,50 @@ def chunk_index(spark: SparkSession, folder: str) -> DataFrame:
     for _ in range(2):
         stored.upsert(chunks.dropDuplicates(["chunk_id"]), ["chunk_id"])
     return stored.read()
+
+
+@query()
+def token_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents in windows of 380 tokens of a public vocabulary."""
+    from millrace.functions.encoding import VOCABULARY
+
+    found = retrieval.chunk(table(spark, folder, "documents"), "doc_id", "text", vocabulary=VOCABULARY)
+    return found.select("doc_id", "chunk_no", "heading", F.col("words").alias("tokens"), "chunk_id")
+
+
+# Dashboards -------------------------------------------------------------------------------------
+_STARTUPS = """(SELECT DISTINCT id, lower(trim(sector)) AS sector, lower(trim(stage)) AS stage, hq_country AS country, funding_year AS year, revenue_stage, funding_amount_usd AS amount, name, description FROM startups_sample)"""
+
+
+def _startups(spark, folder):
+    return table(spark, folder, "startups_sample").select(
+        "id", F.lower(F.trim("sector")).alias("sector"), F.lower(F.trim("stage")).alias("stage"), F.col("hq_country").alias("country"), F.col("funding_year").alias("year"),
+        "revenue_stage", F.col("funding_amount_usd").alias("amount"), "name", "description",
+    ).distinct()
+
+
+@query(f"""SELECT sector, stage, country, year, revenue_stage, count(*) AS startups, count(*) FILTER (amount >= 10000000) AS large, 100.0 * (count(*) FILTER (amount >= 10000000) / count(*)) AS pct FROM {_STARTUPS} GROUP BY 1, 2, 3, 4, 5""", ("pct",))
+def startup_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    out = _startups(spark, folder).groupBy("sector", "stage", "country", "year", "revenue_stage").agg(F.count(F.lit(1)).alias("startups"), F.count_if(F.col("amount") >= 10_000_000).alias("large"))
+    return out.withColumn("pct", 100.0 * ratio(F.col("large"), F.col("startups")))
+
+
+@query(f"""SELECT stage, count(*) AS startups, count(DISTINCT sector) AS sectors, count(DISTINCT country) AS countries, median(amount) AS median_amount FROM {_STARTUPS} WHERE stage IS NOT NULL AND amount > 0 GROUP BY 1""")
+def stage_dashboard(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _startups(spark, folder).where("stage IS NOT NULL AND amount > 0")
+    middle = stats.percentiles(rows, ["stage"], "amount", [0.5]).select("stage", F.col("percentiles")[0].alias("median_amount"))
+    out = rows.groupBy("stage").agg(F.count(F.lit(1)).alias("startups"), F.count_distinct("sector").alias("sectors"), F.count_distinct("country").alias("countries"))
+    return out.join(middle, "stage")
+
+
+@query(f"SELECT id, md5(concat_ws(' ', name, description, sector)) AS text FROM {_STARTUPS}")
+def joined_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Fields joined by a space; NULL fields are left out."""
+    return _startups(spark, folder).select("id", F.md5(F.concat_ws(" ", "name", "description", "sector")).alias("text"))
+
+
+@query("""SELECT 'top_k: out of range' AS rule, count_if(NOT o_orderkey % 25 BETWEEN 1 AND 20) AS rows FROM orders UNION ALL SELECT 'o_orderpriority: bad length', count_if(NOT length(o_orderpriority) BETWEEN 5 AND 10) FROM orders
+  UNION ALL SELECT 'o_orderstatus: unknown value', count_if(o_orderstatus NOT IN ('F', 'O')) FROM orders""")
+def request_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    asked = table(spark, folder, "orders").withColumn("top_k", F.col("o_orderkey") % 25)
+    return Q.violations(asked, [Q.between("top_k", 1, 20), Q.length_between("o_orderpriority", 5, 10), Q.one_of("o_orderstatus", ["F", "O"])])

@@ -163,3 +163,17 @@ def test_text_vectors_of_like_texts_are_alike(spark):
     v = {r.id: r.vector for r in learning.text_vectors(d, "t").collect()}
     assert v[4] is None and v[5] is None
     assert np.dot(v[1], v[2]) > 0.6 > np.dot(v[1], v[3])
+
+
+def test_token_windows_overlap_and_fit(spark):
+    from millrace.functions.encoding import VOCABULARY, token_windows, vocabulary
+
+    text_ = " ".join(f"word{i} größer" for i in range(300))
+    ids = vocabulary().encode_ordinary(text_)
+    got = token_windows(text_, 100, 10)
+    assert all(n <= 100 for _, n in got) and len(got) == len(range(0, len(ids) - 10, 90))
+    assert got[0][0] == text_[: len(got[0][0])] and got[-1][0].endswith("größer")
+    assert token_windows("", 5, 1) == [] and token_windows("short", 5, 1) == [("short", 1)]
+    docs = spark.createDataFrame([(1, "# A\n" + text_), (2, None), (3, "\n".join(f"- item {i}" for i in range(8)))], "id int, t string")
+    rows_ = retrieval.chunk(docs, "id", "t", 100, 10, VOCABULARY).collect()
+    assert max(r.words for r in rows_) <= 100 and {r.doc_id for r in rows_} == {1, 3} and sum(r.doc_id == 3 for r in rows_) == 1
