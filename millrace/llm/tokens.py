@@ -2,27 +2,17 @@
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-"""Where the vocabulary lies on every worker; a parameter of every function that counts tokens."""
+from millrace.functions.encoding import VOCABULARY, vocabulary
 
-
-@lru_cache(maxsize=2)
 def encoder(path: str):
     """The byte-level BPE encoder of a vocabulary file, read once per worker."""
-    import public_tokenizers
-    import tiktoken
-
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return vocabulary(path)
 
 
 def encode(text: str, path: str = VOCABULARY) -> list[int]:
