@@ -376,3 +376,31 @@ def drift_file(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch(spark, "drift")
     analytics.drift_report(spark, folder).write.mode("overwrite").json(path)
     return spark.read.schema("column string, psi double, status string, alert boolean").json(path)
+
+
+@query("SELECT n_name AS name, CASE WHEN n_nationkey % 5 <> 0 THEN lower(n_name) END AS text, CASE WHEN n_nationkey % 5 = 0 THEN 'ValueError: no answer' END AS error FROM nation")
+def service_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """A service asked for every row; rows that it keeps failing carry its error."""
+
+    def call(text: str) -> str:
+        if int(text.rsplit("_", 1)[-1]) % 5 == 0:
+            raise ValueError("no answer")
+        return text.lower()
+
+    n = table(spark, folder, "nation").select("n_name")
+    return readers.answered(n, "n_name", call, tries=2, sleep=lambda _: None).select(F.col("n_name").alias("name"), "answer.text", "answer.error")
+
+
+@query("SELECT '2024-01-31' AS day, 'rules.json' AS name, 2 AS sent")
+def uploaded_files(spark: SparkSession, folder: str) -> DataFrame:
+    """A file of the driver sent below a dated folder twice; the second one replaces the first."""
+    import tempfile
+    from pathlib import Path
+
+    path = scratch(spark, "uploads")
+    local = Path(tempfile.mkdtemp(prefix="millrace-send-")) / "rules.json"
+    for n in (1, 2):
+        local.write_text(json.dumps({"sent": n}))
+        tables.upload(spark, [str(local)], path, "2024-01-31")
+    found = readers.listing(spark, path, "*.json").select(F.regexp_extract("path", "/([0-9-]+)/[^/]+$", 1).alias("day"), F.regexp_extract("path", "([^/]+)$", 1).alias("name"))
+    return found.join(spark.read.schema("sent int").json(f"{path}/2024-01-31"))

@@ -7,6 +7,7 @@ import time
 from collections.abc import Callable, Iterator, Sequence
 from datetime import date, timedelta
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -141,6 +142,26 @@ def with_retry(call: Callable[[], list], tries: int = 3, base: float = 2.0, slee
     return []
 
 
+def answered(df: DataFrame, column: str, call: Callable[[str], str], name: str = "answer", tries: int = 3, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """Add what a service answers to each text: ``name`` as ``struct(text, error)``.
+
+    Calls are repeated with growing pauses; one that keeps failing gives its error instead of ending the job.
+    NULL texts are not asked. The call runs in Arrow batches on the executors.
+    """
+
+    @F.pandas_udf("struct<text: string, error: string>")
+    def ask(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            try:
+                rows.append((None if t is None else with_retry(lambda t=t: call(t), tries, sleep=sleep), None))
+            except Exception as e:  # noqa: BLE001
+                rows.append((None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(rows, columns=["text", "error"])
+
+    return df.withColumn(name, ask(F.col(column)))
+
+
 class LineService:
     """Stand-in for a paged service: a file of JSON lines that all tasks can open.
 

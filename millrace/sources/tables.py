@@ -208,3 +208,17 @@ def dead_letters(path: str, keys: Sequence[str], values: Sequence[str]) -> tuple
     """The folder of a partition and its twin for rejected rows."""
     below = "/".join(f"{k}={v}" for k, v in zip(keys, values))
     return f"{path}/{below}", f"{path}_dead/{below}"
+
+
+def upload(spark: SparkSession, files: Sequence[str], path: str, day: str) -> list[str]:
+    """Copy files of the driver below ``path/day`` in whatever file system it names; files of the same name are replaced."""
+    at = CommitLog(spark, path).at
+    folder = at(f"{path}/{day}")
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    out = []
+    for f in files:
+        target = f"{path}/{day}/{f.rsplit('/', 1)[-1]}"
+        fs.copyFromLocalFile(False, True, at(f"file:{f}"), at(target))
+        out.append(target)
+    return out
