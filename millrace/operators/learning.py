@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, HashingTF, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -318,22 +319,26 @@ def text_vectors(df: DataFrame, text: str, name: str = "vector", size: int = 64)
     """
     from hashlib import blake2b
 
-    @F.pandas_udf("array<double>")
-    def project(texts: pd.Series) -> pd.Series:
-        known: dict[str, np.ndarray] = {}
-        out = []
-        for found in texts:
-            if found is None or not len(found):
-                out.append(None)
-                continue
-            names, counts = np.unique(np.asarray(found, dtype=object).astype(str), return_counts=True)
-            for w in names:
-                if w not in known:
-                    bits = np.unpackbits(np.frombuffer(blake2b(w.encode(), digest_size=-(-size // 8)).digest(), "uint8"))[:size]
-                    known[w] = bits.astype("float64") * 2 - 1
-            v = (1 + np.log(counts)) @ np.stack([known[w] for w in names])
-            length = np.linalg.norm(v)
-            out.append((v / length).tolist() if length else None)
-        return pd.Series(out)
+    @F.arrow_udf("array<double>")
+    def project(texts: pa.Array) -> pa.Array:
+        coded = texts.flatten().dictionary_encode()
+        names = np.array(coded.dictionary.to_pylist(), dtype=object)
+        order = np.argsort(names)
+        at = np.empty(len(order), "int64")
+        at[order] = np.arange(len(order))
+        wide = -(-size // 8)
+        bits = b"".join(blake2b(w.encode(), digest_size=wide).digest() for w in names[order])
+        signs = np.unpackbits(np.frombuffer(bits, "uint8").reshape(len(names), wide), axis=1)[:, :size].astype("float64") * 2 - 1
+        row = np.repeat(np.arange(len(texts)), texts.value_lengths().fill_null(0).to_numpy())
+        each, counts = np.unique(row * len(names) + at[coded.indices.to_numpy()], return_counts=True)
+        row, word = (each // len(names), each % len(names)) if len(names) else (each, each)
+        out = np.zeros((len(texts), size))
+        borders = np.searchsorted(row, np.arange(len(texts) + 1))
+        for i, (lo, hi) in enumerate(zip(borders, borders[1:])):
+            if lo < hi:
+                out[i] = (1 + np.log(counts[lo:hi])) @ signs[word[lo:hi]]
+        length = np.linalg.norm(out, axis=1)
+        unit = out / np.where(length > 0, length, 1.0)[:, None]
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * size, pa.int32()), unit.reshape(-1), mask=pa.array(length == 0))
 
     return df.withColumn(name, project(words(F.col(text))))

@@ -11,7 +11,7 @@ from millrace.operators import quality as Q
 from millrace.operators import reports as R
 from millrace.operators import learning, retrieval, series, stats, upsert
 from millrace.plans.analytics import AS_OF, S_DAYS, S_DID, S_SCORED, _days, _did, _scored, total
-from millrace.runtime import table
+from millrace.runtime import cut, table
 
 QUERIES, SQL, ROUNDED = {}, {}, {}
 
@@ -718,7 +718,7 @@ def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
     """Every 50th document asked of all documents: words and vectors fused, reranked, held to the topic where there are hits of it."""
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
     asked = docs.where("doc_id % 50 = 0")
-    v = learning.text_vectors(docs, "text").where("vector IS NOT NULL")
+    v = cut(learning.text_vectors(docs, "text").select("doc_id", "vector")).where("vector IS NOT NULL")  # else projected again for every block
     near = retrieval.cosine_top_k(v, "doc_id", "vector", v.where("doc_id % 50 = 0"), "doc_id", "vector", 20).withColumnRenamed("key", "doc_id")
     lexical = retrieval.bm25(docs, "doc_id", {"text": 1.0}, asked, "doc_id", "text", 20)
     found = retrieval.hybrid([lexical, near], docs, "doc_id", "text", [("notice", 0.01), ("spam", -0.01)], F.col("source").isin("help_center", "policy_pages"), 5)

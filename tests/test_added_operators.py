@@ -224,8 +224,26 @@ def test_bm25_in_blocks_and_pieces_of_any_size(spark, monkeypatch):
     asked = docs.where("substr(id, 4, 1) = '0'")
     whole = rows(retrieval.bm25(docs, "id", {"text": 1.0}, asked, "id", "text"), "query_id", "position", "doc_id")
     monkeypatch.setattr(retrieval, "BLOCK", 7)
-    monkeypatch.setattr(retrieval.BlockOfQueries, "PIECE", 100)
+    monkeypatch.setattr(retrieval, "PIECE", 100)
     monkeypatch.setattr(retrieval.BlockOfQueries, "PAIRS", 50)
     assert rows(retrieval.bm25(docs, "id", {"text": 1.0}, asked, "id", "text"), "query_id", "position", "doc_id") == whole
     monkeypatch.setattr(retrieval, "FEW_TERMS", 10_000)
     assert rows(retrieval.bm25(docs, "id", {"text": 1.0}, asked, "id", "text"), "query_id", "position", "doc_id") == whole and len(whole) == 200
+
+
+def test_equal_vectors_are_ordered_by_key_whatever_their_place(spark):
+    rng = np.random.default_rng(6)
+    kinds = rng.normal(size=(7, 64))
+    v = spark.createDataFrame([(i, [float(x) for x in kinds[i % 7]]) for i in range(600)] + [(600, [float("inf")] * 64)], "id int, v array<double>")
+    got = rows(retrieval.cosine_top_k(v.repartition(5), "id", "v", v.where("id < 7"), "id", "v", 20), "query_id", "position", "key")
+    assert got == sorted(((q, n + 1, q + 7 * n) for q in range(7) for n in range(20)), key=repr)
+
+
+def test_hybrid_search_projects_each_text_once(spark, small, monkeypatch):
+    import __spark_entry__ as entry
+    from millrace.plans import more
+
+    kept = []
+    monkeypatch.setattr(more, "cut", lambda df: kept.append(df.columns) or df.localCheckpoint())
+    found = entry.queries()["hybrid_search"](spark, small)
+    assert kept == [["doc_id", "vector"]] and "ArrowEvalPython" not in found._jdf.queryExecution().optimizedPlan().toString()
