@@ -37,3 +37,11 @@ def test_searches_ask_every_fiftieth_document(spark, small):
     assert {r.query_id for r in fused} == asked
     for q in asked:
         assert any(r.query_id == q and r.doc_id == q for r in fused)
+
+
+def test_fusion_shuffles_the_best_hits_only(spark):
+    from tests.test_added_operators import _most_shuffled
+
+    found = entry.queries()["rrf_fusion"](spark, "/root/testdata/sf0.01")  # 20 questions of 1,000 documents
+    assert {r.position for r in found.collect()} == set(range(1, 11))
+    assert _most_shuffled(found) < 20 * 1000 / 3
