@@ -74,9 +74,9 @@ class DomainModel:
         return out.withColumn(name, F.transform(odds, lambda x: x / total)).drop("_text", "_words", "_tf", "rawPrediction", "probability", "prediction")
 
 
-def _steps(m: np.ndarray, cap: np.ndarray, history: list[np.ndarray], start: np.ndarray) -> np.ndarray:
+def _steps(m: np.ndarray, cap: np.ndarray, history: list[np.ndarray], start: float) -> np.ndarray:
     """The rates after the projected gradient steps so far: each step is kept within 0 and the cap."""
-    r = np.minimum(m @ start, cap)
+    r = np.minimum(start * m.sum(axis=1), cap)
     for g in history:
         r = np.clip(r - m @ g, 0.0, cap)
     return r
@@ -88,9 +88,10 @@ def fit_rates(cells: DataFrame, targets: dict[str, pd.DataFrame], s: Mixing) ->
     ``cells`` has ``mix_name, m (soft membership over the mix's sources), cap, tokens``: documents that
     agree in membership and cap always have the same rate and are one cell. The loss is the sum over
     sources of (expected tokens - target)^2 / available tokens; a step is its gradient per token of
-    the document. A mix is as large as the labelled documents of its scarcest source allow at their cap, so the
-    optimum is within reach; steps end when the sources are off by ``close`` of the total in sum, or after ``steps``
-    (what is left is ``off``). A step needs the sources' expected tokens only, one small sum per mix; the rates
+    the document. All documents start at one rate (times what of them belongs to the mix), the mix's tokens by those of its
+    candidates, whatever the targets; the steps alone bring them to the targets. A mix is as large as the labelled
+    documents of its scarcest source allow at their cap, so the optimum is within reach; steps end when the sources are
+    off by ``close`` of the total in sum, or after ``steps`` (what is left is ``off``). A step needs the sources' expected tokens only, one small sum per mix; the rates
     themselves stay with the executors and are derived from the steps so far.
     """
     cells = cut(cells)
@@ -109,7 +110,7 @@ def fit_rates(cells: DataFrame, targets: dict[str, pd.DataFrame], s: Mixing) ->
         used = share > 0
         total = float(np.min(most[used] / share[used])) if used.any() else 0.0
         wanted = total * share
-        start = np.where(used & (available > 0), wanted / np.maximum(available, 1e-9), 0.0)
+        start = float(total / max(available.sum(), 1e-9))
         state[mix] = {"wanted": wanted, "available": available, "start": start, "history": [], "done": not used.any(), "off": 0.0}
     for _ in range(s.steps):
         if all(x["done"] for x in state.values()):

@@ -99,3 +99,26 @@ def test_rounding_stays_close():
         assert (copies >= np.floor(rates)).all() and (copies <= np.ceil(rates)).all()
         assert abs((copies - rates) @ tokens) <= tokens.max() / 2 + 1e-6
     assert mixing.whole_copies(np.zeros(0), np.zeros(0)).tolist() == []
+
+
+def test_gradient_steps_bring_equal_rates_to_the_targets(spark):
+    import pandas as pd
+
+    t = pd.DataFrame({"source": list("abc"), "target_share": [0.5, 0.3, 0.2], "max_repeats": [1, 2, 4], "hard_tokens": [1000, 400, 90]})
+    lines = [("x", [float(i == j) for j in range(3)], float(c), float(n)) for i, (c, n) in enumerate(zip(t["max_repeats"], t["hard_tokens"]))]
+    lines.append(("x", [0.2, 0.3, 0.1], 4.0, 50.0))
+    cells = spark.createDataFrame(lines, "mix_name string, m array<double>, cap double, tokens double")
+    state = mixing.fit_rates(cells, {"x": t}, mixing.Mixing())["x"]
+    m, cap = np.array([x[1] for x in lines]), np.array([x[2] for x in lines])
+    before = mixing._steps(m, cap, [], state["start"])
+    assert np.allclose(before, np.minimum(state["start"] * m.sum(axis=1), cap)) and np.isscalar(state["start"])  # the targets play no part in where the steps start
+    after = mixing._steps(m, cap, state["history"], state["start"])
+    got = (after * np.array([x[3] for x in lines])) @ m
+    assert state["history"] and state["done"] and state["off"] <= 1e-4
+    assert np.abs(got / state["wanted"].sum() - t["target_share"]).max() < 1e-4
+
+
+def test_labelled_documents_alone_take_gradient_steps(spark):
+    _, shares = mixing.mix_documents(_docs(spark, nameless=0), _targets(spark))
+    found = shares.collect()
+    assert all(r.steps >= 1 and r.off <= 1e-4 for r in found)
