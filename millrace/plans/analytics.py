@@ -618,7 +618,7 @@ def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
     """Lexical hits fused with those of a vector search; documents have no embeddings, so their vectors are hashed word counts."""
     docs = table(spark, folder, "documents").select("doc_id", text.words(F.col("text")).alias("w")).where("size(w) > 0")
     v = learning.hashed_words(docs, "w", 256).select("doc_id", learning.vector_to_array("features").alias("v"))
-    near = retrieval.cosine_top_k(v, "doc_id", "v", v.where("doc_id % 50 = 0"), "doc_id", "v", 20).withColumnRenamed("key", "doc_id")
+    near = retrieval.cosine_top_k(v, "doc_id", "v", v.where("doc_id % 50 = 0"), "doc_id", "v", 20, retrieval.BLOCK).withColumnRenamed("key", "doc_id")
     return retrieval.reciprocal_rank_fusion([_bm25_documents(spark, folder, 20), near], "doc_id")
 
 

@@ -6,6 +6,7 @@ from collections import Counter
 import __spark_entry__ as entry
 from millrace.functions import text
 from millrace.runtime import table
+from tests.conftest import rows
 
 
 def _words(spark, small):
@@ -45,3 +46,19 @@ def test_fusion_shuffles_the_best_hits_only(spark):
     found = entry.queries()["rrf_fusion"](spark, "/root/testdata/sf0.01")  # 20 questions of 1,000 documents
     assert {r.position for r in found.collect()} == set(range(1, 11))
     assert _most_shuffled(found) < 20 * 1000 / 3
+
+
+def test_fusion_shuffles_no_more_for_more_files(spark, tmp_path):
+    from tests.test_added_operators import _most_shuffled
+
+    one = "/root/testdata/sf0.01"  # 20 questions of 1,000 documents
+    want = rows(entry.queries()["rrf_fusion"](spark, one))
+    table(spark, one, "documents").repartition(64).write.parquet(f"{tmp_path}/documents.parquet")
+    with_files = "spark.sql.files.maxPartitionBytes"
+    spark.conf.set(with_files, "4096")  # a task for every file, of which each has fewer documents than are asked for
+    try:
+        found = entry.queries()["rrf_fusion"](spark, str(tmp_path))
+        assert rows(found) == want
+        assert _most_shuffled(found) < 20 * 1000 / 3
+    finally:
+        spark.conf.unset(with_files)
